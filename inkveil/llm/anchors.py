@@ -123,10 +123,9 @@ def _with_repeats(anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rank, key, text): a null id ranks last, a null text is empty."""
+    """(rank, key, text): the id is the rank, a null id ranks last; a null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("rank"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
 def shared_anchors(texts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
@@ -272,7 +271,7 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     buckets = 4 * partitions(spark)
-    texts = texts_of(docs, id_col, text_col)
+    texts = texts_of(docs, id_col, text_col)  # both joins below read these very columns, so the texts are shuffled once
     least = texts.groupBy("key").agg(F.min("rank").alias("least"))
     placed = texts.join(least, "key")
     firsts = placed.where("rank = least").join(shared_anchors(texts, unit, buckets), "key")
@@ -304,4 +303,5 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
             np.add.at(steps, np.concatenate((token0[owner] + (packed & 0xFFFFFFFF) + window - 1, token0[whole] + count[whole])), -1)
             yield finish(b, offsets, data, start, end, text, np.cumsum(steps[:-1]) > 0)
 
-    return placed.join(spans, "key", "left").select("doc_id", "rank", "least", "text", "spans").mapInArrow(cover, schema)
+    doc_id = F.nullif(F.col("rank"), F.lit(LAST)).alias("doc_id")
+    return placed.join(spans, "key", "left").select(doc_id, "rank", "least", "text", "spans").mapInArrow(cover, schema)
