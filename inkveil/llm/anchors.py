@@ -274,7 +274,8 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
     texts = texts_of(docs, id_col, text_col)  # both joins below read these very columns, so the texts are shuffled once
     least = texts.groupBy("key").agg(F.min("rank").alias("least"))
     placed = texts.join(least, "key")
-    firsts = placed.where("rank = least").join(shared_anchors(texts, unit, buckets), "key")
+    # "<=", as an equality would become a join key, and the texts would be shuffled again by it.
+    firsts = placed.where("rank <= least").join(shared_anchors(texts, unit, buckets), "key")
     window = unit.window
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
