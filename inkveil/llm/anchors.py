@@ -24,7 +24,7 @@ from inkveil.llm.common import mix, partitions, slices, small_batches, spread, t
 from inkveil.llm.words import find_words, hash_grams, hash_words
 
 #: Bytes of text whose anchors, and whose pieces, leave a task together.
-FLUSH_ANCHORS, FLUSH_PIECES = 24 << 20, 4 << 20
+FLUSH_ANCHORS, FLUSH_PIECES = 24 << 20, 2 << 20
 LAST = (1 << 63) - 1
 _LOW = np.uint64((1 << 40) - 1)
 

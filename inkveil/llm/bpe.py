@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -20,8 +21,12 @@ from inkveil.llm.common import as_long, slices, small_batches, spread
 NONE = np.int32(2**31 - 1)
 #: Pieces beyond this many bytes are merged with a heap, whose time is not quadratic in the length.
 LONG = 1024
-#: Pieces kept with their ids; beyond this the memory of pieces starts afresh.
-KEPT = 150_000
+#: Stretches of text between single spaces that are kept with their ids; beyond this memory starts afresh.
+KEPT = 400_000
+#: What a word may end in and still be two pieces for certain: the word, and a run of these.
+_TAIL = ".,;:!?)]}\"'$%&*#|"
+#: A space between two other characters: no piece begins before such a space and ends after it.
+_CUT = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class ByteBPE:
@@ -41,7 +46,9 @@ class ByteBPE:
         pairs = {(self.ranks[t[:i]], self.ranks[t[i:]]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         self.pairs = pairs
         self._build(np.array([(a << 32) | b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int32))
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.decimal = [str(i) for i in range(size)]
+        self.known: dict[str, bytes] = {}  # ids (int32, little-endian) of pieces that are not a plain word
+        self.units: dict[str, bytes] = {}  # of stretches that a space precedes
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -81,21 +88,22 @@ class ByteBPE:
             at[todo] = (at[todo] + 1) & self.mask
         return found
 
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of at most `width` bytes."""
         sizes = np.array([len(p) for p in pieces])
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[np.arange(width) < sizes[:, None]] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self.rank_of(ids[:, :-1], ids[:, 1:])
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        out = [b""] * len(pieces)
         row = np.arange(len(pieces))
         while len(row):
             at = ranks.argmin(axis=1)  # the first of equal minima: the leftmost
             low = ranks[np.arange(len(row)), at]
             over = low == NONE
             if over.any():
-                for r, x, n in zip(row[over].tolist(), ids[over].tolist(), sizes[over].tolist(), strict=True):
-                    out[r] = tuple(x[:n])
+                done, step = ids[over].astype("<i4").tobytes(), 4 * ids.shape[1]
+                for at_, (r, n) in enumerate(zip(row[over].tolist(), sizes[over].tolist(), strict=True)):
+                    out[r] = done[at_ * step : at_ * step + 4 * n]
                 go = ~over
                 row, ids, ranks, sizes, at, low = row[go], ids[go], ranks[go], sizes[go], at[go], low[go]
                 if not len(row):
@@ -116,7 +124,7 @@ class ByteBPE:
             ranks[lane, left] = self.rank_of(ids[lane, left], ids[lane, left + 1])
         return out
 
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+    def _merge_long(self, piece: bytes) -> bytes:
         """The same merges for one long piece, lowest rank and then leftmost first, from a heap."""
         ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -135,34 +143,79 @@ class ByteBPE:
                     heapq.heappush(heap, (x, i, r, ids[after[i]]))
             if before[i] >= 0 and (x := pairs.get((ids[before[i]], r))) is not None:
                 heapq.heappush(heap, (x, before[i], ids[before[i]], r))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], "<i4").tobytes()
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces not known yet, in matrices by width."""
-        widths: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            raw = p.encode()
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, from matrices of pieces of about one length."""
+        out, widths = [b""] * len(pieces), {}
+        for i, raw in enumerate(pieces):
             if (whole := self.ranks.get(raw)) is not None:
-                self.known[p] = ((whole,), str(whole))
+                out[i] = whole.to_bytes(4, "little")
             else:
-                widths.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
-        for width, some in sorted(widths.items()):
+                widths.setdefault((len(raw) - 1).bit_length(), []).append(i)
+        for bits, some in sorted(widths.items()):
+            width = 1 << bits
             step = max(1, (1 << 20) // width)
             for at in range(0, len(some), step):
                 part = some[at : at + step]
-                got = [self._merge_long(raw) for _, raw in part] if width > LONG else self._merge_matrix([raw for _, raw in part], width)
-                self.known.update((p, (ids, " ".join(map(str, ids)))) for (p, _), ids in zip(part, got, strict=True))
+                got = [self._merge_long(pieces[i]) for i in part] if width > LONG else self._merge_matrix([pieces[i] for i in part], width)
+                for i, ids in zip(part, got, strict=True):
+                    out[i] = ids
+        return out
 
-    def pieces(self, texts: list[str | None]) -> list[list[str]]:
-        """The pieces of each text, all of them known afterwards."""
-        found = [self.split(t) if t else [] for t in texts]
-        if len(self.known) > KEPT:
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, piece by piece."""
+        found = [self.split(t) for t in texts]
+        if len(self.known) > KEPT // 4:
             self.known.clear()
-        self.learn(set(chain.from_iterable(found)).difference(self.known))
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [list(chain.from_iterable(self.known[p][0] for p in pieces)) for pieces in self.pieces(texts)]
+        new = list(set(chain.from_iterable(found)).difference(self.known))
+        self.known.update(zip(new, self.merged([p.encode() for p in new]), strict=True))
+        return [b"".join([self.known[p] for p in pieces]) for pieces in found]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode stretches that a space precedes. A word of letters is one piece with its space; a word and a run of
+        marks are two; the pattern finds the pieces of all others."""
+        units = self.units
+        words, ended, odd = set(), [], []
+        for u in new:
+            if u.isalpha():
+                words.add(u)
+            elif (w := u.rstrip(_TAIL)).isalpha():
+                ended.append((u, w, u[len(w) :]))
+                if w not in units:
+                    words.add(w)
+            else:
+                odd.append(u)
+        plain = list(words)
+        units.update(zip(plain, self.merged([b" " + w.encode() for w in plain]), strict=True))
+        marks = list({m for _, _, m in ended})
+        of_mark = dict(zip(marks, self._joined(marks), strict=True))
+        units.update((u, units[w] + of_mark[m]) for u, w, m in ended)
+        units.update(zip(odd, self._joined([" " + u for u in odd]), strict=True))
+
+    def stretches(self, texts: list[str | None]) -> list[list[bytes]]:
+        """For each text the ids of its stretches in order. Texts are cut at single spaces, where pieces end in any case,
+        so that what is common is encoded once; the pattern and the merges see only stretches not known yet."""
+        cuts = [t.split(" ") if t else [] for t in texts]
+        if len(self.units) > KEPT:
+            self.units.clear()
+        new = set(chain.from_iterable(c[1:] for c in cuts)).difference(self.units)
+        loose = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}  # next to a space that pieces may cross
+        ends: dict[int, str] = {}
+        for i, c in enumerate(cuts):
+            if len(c) > 1 and (not c[0] or c[0][-1].isspace() or loose and not loose.isdisjoint(c)):
+                cuts[i] = c = _CUT(texts[i])
+                if len(c) > 1 and c[-1][-1].isspace():
+                    ends[i] = " " + c.pop()
+                new.update(c[1:])
+        self._learn(new.difference(loose, self.units) if ends or loose else new)
+        heads = iter(self._joined([c[0] for c in cuts if c]))
+        last = dict(zip(ends, self._joined(list(ends.values())), strict=True))
+        units = self.units
+        return [[next(heads), *[units[u] for u in c[1:]], last.get(i, b"")] if c else [] for i, c in enumerate(cuts)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(got), "<i4") for got in self.stretches(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
@@ -215,11 +268,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         sha = hashlib.sha256
         for b in slices(batches, "text"):
             counts, ids_sha, text_sha = [], [], []
-            for pieces in bpe.pieces(b.column("text").to_pylist()):
-                got = [bpe.known[p] for p in pieces]
-                ids = np.fromiter(chain.from_iterable(x[0] for x in got), np.int64)
+            for ids in bpe.encode(b.column("text").to_pylist()):
                 counts.append(len(ids))
-                ids_sha.append(sha(" ".join([x[1] for x in got]).encode()).hexdigest())
+                ids_sha.append(sha(" ".join([bpe.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 text_sha.append(sha(bpe.decode(ids)).hexdigest())
             yield pa.record_batch([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python operator works on at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch. Documents average a few kB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
 

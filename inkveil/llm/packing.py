@@ -99,7 +99,6 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = 2048, pa
 
         for b in slices(batches, "text"):
             for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text").to_pylist()), strict=True):
-                ids = np.array(ids, np.int32)
                 held += [(doc, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
                 tokens += len(ids)
                 if tokens >= shard_tokens:

@@ -13,7 +13,7 @@ from inkveil.llm.common import spread
 from inkveil.llm.suffixes import suffix_array
 
 #: Bytes of distinct pieces whose suffixes are sorted together; an anchor's pieces stay together whatever their size.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 2 << 20
 
 
 def least_ranks(pieces: list[bytes], ranks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

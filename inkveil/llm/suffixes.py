@@ -208,7 +208,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
         rank = np.empty(n, np.int64)
         rank[order] = fresh

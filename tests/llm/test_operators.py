@@ -54,8 +54,8 @@ def test_bpe_digests(spark):
 
 def test_bpe_random_pieces():
     random_, want, own = random.Random(3), encoder(), bpe.load(*tokenizer())
-    texts = ["".join(random_.choices("ab eE'sé日 \n1", k=random_.randint(0, 60))) for _ in range(400)]
-    assert own.encode(texts) == [want.encode_ordinary(t) for t in texts]
+    texts = ["".join(random_.choices("ab eE'sé日 \n1\x1c\u3000\t", k=random_.randint(0, 60))) for _ in range(1500)]
+    assert [x.tolist() for x in own.encode(texts)] == [want.encode_ordinary(t) for t in texts]
 
 
 def test_packing_is_lossless(spark):

@@ -24,7 +24,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     own, want = load(*queries.tokenizer()), []
     for r in before.select("doc_id", "text").collect():
-        e = own.encode([r.text])[0]
+        e = own.encode([r.text])[0].tolist()
         want.append((r.doc_id, len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
     assert sorted(tuple(x) for x in last.collect()) == sorted(want)
 
