@@ -100,15 +100,6 @@ def shorten(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (((anchor >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40)) | (anchor & _LOW)
 
 
-def by_key(keys: np.ndarray, values: np.ndarray, names: tuple[str, str]) -> pa.RecordBatch:
-    """One row for each key with the list of its values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    cut = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64)
-    offsets = np.concatenate((cut, [len(keys)])).astype(np.int32)
-    return pa.record_batch([pa.array(keys[cut]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], list(names))
-
-
 def _with_repeats(anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (anchor, key) in order; True at the first of each anchor; True where an anchor has several keys."""
     order = np.lexsort((key, anchor))
@@ -176,11 +167,11 @@ def shared_anchors(texts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             anchor, key, _, many = _with_repeats(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]))
             known.append((anchor[many], key[many]))
         if known:
-            yield by_key(np.concatenate([x[1] for x in known]), np.concatenate([x[0] for x in known]).view(np.int64), ("key", "anchors"))
+            yield pa.record_batch([pa.array(np.concatenate([x[1] for x in known])), pa.array(np.concatenate([x[0] for x in known]).view(np.int64))], ["key", "anchor"])
 
     sent = texts.select("key", "text").mapInArrow(send, "bucket long, asks boolean, anchors binary, keys binary")
-    lists = sent.repartition(partitions(spark), "bucket").mapInArrow(match, "key long, anchors array<long>")
-    return lists.groupBy("key").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+    found = sent.repartition(partitions(spark), "bucket").mapInArrow(match, "key long, anchor long")
+    return found.groupBy("key").agg(F.collect_list("anchor").alias("anchors"))  # of one text, and so bounded by it
 
 
 PIECES = "bucket long, anchors binary, keys binary, ranks binary, firsts binary, counts binary, sizes binary, data binary"
@@ -252,14 +243,14 @@ def load_shard(batches: Iterator[pa.RecordBatch]) -> Shard | None:
 
 
 def span_rows(key: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
-    """(key, spans): each text's repeated windows as runs, start in the high 32 bits and the end (exclusive) in the low."""
+    """(key, span): each text's repeated windows as runs, start in the high 32 bits and the end (exclusive) in the low."""
     order = np.lexsort((window, key))
     key, window = key[order], window[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (window[1:] > window[:-1] + 1)
     at = np.flatnonzero(fresh)
     last = np.concatenate((at[1:], [len(key)])) - 1
-    return by_key(key[at], (window[at].astype(np.int64) << 32) | (window[last].astype(np.int64) + 1), ("key", "spans"))
+    return pa.record_batch([pa.array(key[at]), pa.array((window[at].astype(np.int64) << 32) | (window[last].astype(np.int64) + 1))], ["key", "span"])
 
 
 def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[np.ndarray, np.ndarray]], finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,7 +276,7 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
                 yield span_rows(key, at)
 
     dealt = pieces_by_shard(firsts, unit, buckets).repartition(partitions(spark), "bucket")
-    spans = dealt.mapInArrow(judge, "key long, spans array<long>").groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = dealt.mapInArrow(judge, "key long, span long").groupBy("key").agg(F.collect_list("span").alias("spans"))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

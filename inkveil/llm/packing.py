@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.bpe import load
-from inkveil.llm.common import as_long, slices, small_batches
+from inkveil.llm.common import as_long, slices, small_batches, spread
 
 #: Tokens that are packed together. A task holds one such shard at a time, however large its partition is.
 SHARD_TOKENS = 1 << 20
@@ -54,7 +54,10 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     free, tree = defaultdict(list), FreeCapacities(capacity)
     for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         need = lengths[item]
-        room = tree.least_fit(need) if need < capacity else -1
+        if need == capacity:
+            rows.append([item])
+            continue
+        room = tree.least_fit(need)
         if room < 0:
             rows.append([])
             at, room = len(rows) - 1, capacity
@@ -68,6 +71,12 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
+def _rows_of(matrix: np.ndarray, width: int) -> pa.Array:
+    """The rows of a flat matrix of int32 as a binary column."""
+    offsets = np.arange(0, 4 * len(matrix) + 1, 4 * width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(matrix)])
+
+
 def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = 2048, pad_id: int = 50256, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows: shard, row, ids and positions (int32, little-endian, padded to capacity), cu_seqlens, doc_ids, starts, n_tokens.
 
@@ -85,17 +94,23 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = 2048, pa
         shard, tokens = TaskContext.get().partitionId() << 32, 0
 
         def packed() -> pa.RecordBatch:
-            columns = defaultdict(list)
-            for n, items in enumerate(best_fit_decreasing([len(x[2]) for x in held], capacity)):
-                parts = [held[i][2] for i in items]
-                cuts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                ids, positions = np.full(capacity, pad_id, "<i4"), np.zeros(capacity, "<i4")
-                ids[: cuts[-1]] = np.concatenate(parts)
-                positions[: cuts[-1]] = np.concatenate([np.arange(len(p)) for p in parts])
-                for k, v in (("shard", shard), ("row", n), ("ids", ids.tobytes()), ("positions", positions.tobytes()), ("cu_seqlens", cuts), ("doc_ids", [held[i][0] for i in items]), ("starts", [held[i][1] for i in items]), ("n_tokens", cuts[-1])):
-                    columns[k].append(v)
-            kinds = {"shard": pa.int64(), "row": pa.int32(), "ids": pa.binary(), "positions": pa.binary(), "cu_seqlens": pa.list_(pa.int32()), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "n_tokens": pa.int32()}
-            return pa.record_batch([pa.array(columns[k], kind) for k, kind in kinds.items()], list(kinds))
+            rows = best_fit_decreasing([len(x[2]) for x in held], capacity)
+            items = [held[i] for row in rows for i in row]
+            size = np.array([len(x[2]) for x in items])
+            many = np.array([len(row) for row in rows])
+            first = np.cumsum(many) - many
+            ends = np.cumsum(size)
+            base = np.repeat(ends[first] - size[first], many)  # tokens before an item's row
+            begin = np.repeat(np.arange(len(rows)) * capacity, many) + ends - size - base
+            item, place = spread(begin, size)
+            ids, positions = np.full(len(rows) * capacity, pad_id, "<i4"), np.zeros(len(rows) * capacity, "<i4")
+            ids[place] = np.concatenate([x[2] for x in items])
+            positions[place] = place - begin[item]
+            cuts = np.insert(ends - base, first, 0)
+            cut_at, item_at = np.concatenate((first + np.arange(len(rows)), [len(cuts)])), np.concatenate((first, [len(items)]))
+            listed = lambda at, values, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+            columns = [pa.array(np.full(len(rows), shard)), pa.array(np.arange(len(rows)), pa.int32()), _rows_of(ids, capacity), _rows_of(positions, capacity), listed(cut_at, cuts, pa.int32()), listed(item_at, [x[0] for x in items], pa.int64()), listed(item_at, [x[1] for x in items], pa.int64()), pa.array(np.add.reduceat(size, first), pa.int32())]
+            return pa.record_batch(columns, [x.split()[0] for x in PACKED.split(", ")])
 
         for b in slices(batches, "text"):
             for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text").to_pylist()), strict=True):
