@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -22,7 +23,7 @@ NONE = np.int32(2**31 - 1)
 #: Pieces beyond this many bytes are merged with a heap, whose time is not quadratic in the length.
 LONG = 1024
 #: Stretches of text between single spaces that are kept with their ids; beyond this memory starts afresh.
-KEPT = 400_000
+KEPT = 700_000
 #: What a word may end in and still be two pieces for certain: the word, and a run of these.
 _TAIL = ".,;:!?)]}\"'$%&*#|"
 #: A space between two other characters: no piece begins before such a space and ends after it.
@@ -225,8 +226,11 @@ class ByteBPE:
 
 @lru_cache(maxsize=2)
 def load(rank_file: str, pattern: str) -> ByteBPE:
-    """One encoder for each Python worker and vocabulary."""
-    return ByteBPE(rank_file, pattern)
+    """One encoder for each Python worker and vocabulary. Its tables last, so the collector need not walk them again."""
+    bpe = ByteBPE(rank_file, pattern)
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 100)
+    return bpe
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
