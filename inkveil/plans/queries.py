@@ -1,10 +1,225 @@
-"""The queries over the engine's own operators, and their SQL."""
+"""The queries over the engine's own operators, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from inkveil.functions import catalogue as c
+from inkveil.functions.text import fold, lines, spans
+from inkveil.operators import jobs, reports, resolve, sections, verify
+from inkveil.operators.detect import detect
+from inkveil.plans.detection import parts_of, redacted, verdicts, all_hits
+from inkveil.sources import admission
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def email_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = parts_of(docs(spark, sf_dir))
+    hits = detect(parts, ("shapes",)).where("entity_type = 'email'")
+    done = redacted(parts, hits)
+    n = hits.groupBy("document_id").agg(F.count("*").alias("n_findings"))
+    return done.join(n, "document_id", "left").select(F.col("document_id").alias("doc_id"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.col("redacted").alias("redacted_text"))
+
+
+def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = docs(spark, sf_dir).select("doc_id", F.explode(spans(F.col("text"), c.EMAIL)).alias("s"))
+    return each.select("doc_id", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"))
+
+
+def pattern_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return d.groupBy("lang").agg(F.sum(F.size(spans(F.col("text"), c.EMAIL))).alias("n_emails"), F.count("*").alias("n_documents"))
+
+
+def detected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved hits of all rules by entity: no DuckDB form, tests hold the rules."""
+    found = resolve.findings(resolve.resolve(all_hits(parts_of(docs(spark, sf_dir)))))
+    return found.groupBy("entity_type", "action").agg(F.count("*").alias("n"))
+
+
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = parts_of(docs(spark, sf_dir))
+    return verdicts(parts, all_hits(parts)).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("leaks").alias("leaks"))
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = lines(parts_of(docs(spark, sf_dir)))
+    return each.select(F.col("document_id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("start").cast("long").alias("line_start"), F.col("end").cast("long").alias("line_end"))
+
+
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).where(~F.col("text").rlike("[ßẞ]")).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha256"))
+
+
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sections(parts_of(docs(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def synthetic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with places from the line items: up to seven for each order, of four entities, that often overlap."""
+    names = F.array(*[F.lit(x) for x in ("email", "phone", "gender", "salary")])
+    rows = table(spark, sf_dir, "lineitem")
+    start = (F.col("l_partkey") % 40).cast("int")
+    return rows.select(F.col("l_orderkey").alias("document_id"), F.lit(0).alias("part_seq"), F.col("l_linenumber").cast("int").alias("seq"), names[(F.col("l_suppkey") % 4).cast("int")].alias("entity_type"), start.alias("start"), (start + 1 + (F.col("l_quantity") % 20).cast("int")).cast("int").alias("end"), (F.round(F.col("l_tax") * 10, 0) / 10 + 0.2).alias("confidence"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("detector_id"), F.array().cast("array<string>").alias("signals"))
+
+
+_HITS = """h AS (SELECT l_orderkey AS document_id, CAST(l_linenumber AS INTEGER) AS seq, ['email', 'phone', 'gender', 'salary'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS entity_type,
+        CAST(l_partkey % 40 AS INTEGER) AS s, CAST(l_partkey % 40 AS INTEGER) + 1 + CAST(floor(l_quantity % 20) AS INTEGER) AS e, round(CAST(l_tax AS DOUBLE) * 10, 0) / 10 + 0.2 AS conf FROM lineitem),
+    mx AS (SELECT *, max(e) OVER (PARTITION BY document_id, entity_type ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h),
+    isl AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, entity_type ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM mx),
+    fs AS (SELECT document_id, entity_type, min(seq) AS first_seen FROM h GROUP BY ALL),
+    m AS (SELECT document_id, entity_type, first_seen, min(s) AS s, max(e) AS e, max(conf) AS conf FROM isl JOIN fs USING (document_id, entity_type) GROUP BY document_id, entity_type, first_seen, g),
+    p AS (SELECT *, CASE entity_type WHEN 'email' THEN 100 WHEN 'phone' THEN 70 WHEN 'salary' THEN 80 ELSE 50 END AS prio FROM m),
+    r AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.document_id = a.document_id AND o.entity_type <> a.entity_type AND o.s <= a.s AND a.e <= o.e AND (o.s - o.e, -o.prio, o.first_seen) < (a.s - a.e, -a.prio, a.first_seen)))"""
+
+
+def merge_same_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.merge_same_type(synthetic_hits(spark, sf_dir))
+    return out.select("document_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("confidence", 2).alias("confidence"))
+
+
+def resolve_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.resolve(synthetic_hits(spark, sf_dir))
+    return out.select("document_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("confidence", 2).alias("confidence"))
+
+
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.resolve(synthetic_hits(spark, sf_dir)).withColumn("action", resolve.action(F.col("entity_type"), F.round("confidence", 2), mask_salary=False))
+    return out.groupBy("entity_type", "action").agg(F.count("*").alias("n"))
+
+
+def docx_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.resolve(synthetic_hits(spark, sf_dir)).withColumn("action", F.lit("redact"))
+    return resolve.ranges(found).select("document_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "entity_type", "replacement_label", "n_findings")
+
+
+def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.resolve(synthetic_hits(spark, sf_dir))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    return reports.report(orders, found).select("document_id", "count_email", "count_phone", "count_gender", "count_salary", "count_passport")
+
+
+def span_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved hits held against the merged ones as gold."""
+    part = F.lit("part:word/document.xml")
+    gold = resolve.merge_same_type(synthetic_hits(spark, sf_dir)).withColumn("part_key", part)
+    return reports.scores(gold, resolve.resolve(synthetic_hits(spark, sf_dir)).where("entity_type <> 'gender'").withColumn("part_key", part))
+
+
+def dedupe_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = docs(spark, sf_dir).select("doc_id", F.col("source").alias("batch_id"), F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("content_sha256"))
+    return admission.copies(uploads).select("doc_id", "content_sha256", "duplicate")
+
+
+def batch_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = docs(spark, sf_dir).select("doc_id", F.col("source").alias("batch_id"), F.col("doc_id").alias("arrival"))
+    return admission.over_file_cap(uploads, 20).select("doc_id", "refused")
+
+
+def batch_byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads = docs(spark, sf_dir).select(F.col("source").alias("batch_id"), F.col("doc_id").alias("arrival"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return admission.over_byte_cap(uploads, 60_000)
+
+
+def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as if each ended in a file name, against one admitted host."""
+    url = F.concat(F.regexp_replace("url", "^http://", "https://"), F.when(F.col("page_id") % 3 == 0, "/cv.PDF").when(F.col("page_id") % 3 == 1, "/a//b.docx").otherwise("/x.txt"))
+    host = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
+    pages = table(spark, sf_dir, "pages").withColumn("host", host)
+    first = pages.agg(F.min("host")).first()[0] or "example.com"
+    return pages.select("page_id", admission.source_url(url, first)["filename"].alias("filename"))
+
+
+def pasted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" , ", "url", F.lit("not-a-link"), "url", F.concat("url", F.lit("?b"))).alias("pasted"))
+    return admission.pasted_links(pages, "page_id", "pasted").select("page_id", F.col("position").cast("long").alias("position"), "href")
+
+
+def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "pdf", "a.pdf", "application/pdf"), (2, "pdf", "a.docx", None), (3, "docx", "C:\\x\\a.DOCX", ""), (4, "pdf", ".pdf", "text/plain"), (5, "unsupported", "a.txt", None), (6, "pdf", None, "application/pdf; q=1"), (7, "docx", "a.pdf", admission.DOCX_TYPE)], "id int, kind string, filename string, content_type string")
+    return rows.select("id", admission.declared_disagrees(F.col("kind"), F.col("filename"), F.col("content_type")).alias("disagrees"))
+
+
+def next_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents and customers as batches."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "O", "uploaded").otherwise("completed").alias("state"), F.col("o_orderdate").alias("created_at"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), F.when(F.col("c_custkey") % 2 == 0, "running").otherwise("open").alias("state"), (F.col("c_custkey") % 97).alias("created_at"))
+    return jobs.next_document(o, b)
+
+
+def settled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), F.when(F.col("o_orderstatus") == "O", "processing").otherwise("completed").alias("state"))
+    return jobs.settled(o)
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref"))
+    uses = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ref"), (F.col("o_orderstatus") == "O").alias("needed"))
+    return jobs.reconcile(stored, uses)
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands from the line items, replayed by order."""
+    commands = F.array(*[F.lit(x) for x in ("mark_uploaded", "start_validation", "validation_passed", "start_processing", "output_written", "verification_passed", "cancel")])
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("seq"), commands[(F.col("l_linenumber") - 1).cast("int") % 7].alias("command"))
+    return jobs.replay(events).groupBy("state").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+
+
+def value_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 30).alias("value"))
+    return d.select("doc_id", verify.value_pattern(F.lit("email"), F.col("value")).isNotNull().alias("searched"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable)}
+
+_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
+
+ORACLE_SQL: dict[str, str] = {
+    "email_redacted": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS BIGINT) AS n_findings, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS redacted_text FROM documents",
+    "email_spans": f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents),
+        x AS (SELECT doc_id, unnest(ms) AS v, unnest(ps[1:len(ms)]) AS b, unnest(range(0, len(ms))) AS i FROM m WHERE len(ms) > 0),
+        y AS (SELECT doc_id, v, sum(length(b) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM x)
+        SELECT doc_id, CAST(e - length(v) AS BIGINT) AS span_start, CAST(e AS BIGINT) AS span_end FROM y""",
+    "pattern_counts_by_lang": f"SELECT lang, CAST(sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS BIGINT) AS n_emails, count(*) AS n_documents FROM documents GROUP BY lang",
+    "text_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+        e AS (SELECT doc_id, i, x, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l)
+        SELECT doc_id, i AS line_no, CAST(e - length(x) AS BIGINT) AS line_start, CAST(e AS BIGINT) AS line_end FROM e""",
+    "folded_names": "SELECT doc_id, sha256(replace(strip_accents(lower(text)), 'đ', 'd')) AS folded_sha256 FROM documents WHERE NOT regexp_matches(text, '[ßẞ]')",
+    "merge_same_type": f"WITH {_HITS} SELECT document_id, entity_type, s AS span_start, e AS span_end, round(conf, 2) AS confidence FROM m",
+    "resolve_hits": f"WITH {_HITS} SELECT document_id, entity_type, s AS span_start, e AS span_end, round(conf, 2) AS confidence FROM r",
+    "policy_actions": f"WITH {_HITS} SELECT entity_type, CASE WHEN round(conf, 2) < 0.5 THEN 'discard' WHEN entity_type = 'salary' THEN 'detected_not_redacted' WHEN round(conf, 2) >= 0.85 THEN 'redact' ELSE 'redact_and_review' END AS action, count(*) AS n FROM r GROUP BY ALL",
+    "docx_ranges": f"""WITH {_HITS},
+        rx AS (SELECT *, max(e) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach2 FROM r),
+        ri AS (SELECT *, sum(CASE WHEN reach2 IS NULL OR s >= reach2 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM rx),
+        w AS (SELECT document_id, min(s) AS span_start, max(e) AS span_end, arg_max(entity_type, prio) AS entity_type, count(*) AS n_findings FROM ri GROUP BY document_id, g)
+        SELECT *, CASE entity_type WHEN 'email' THEN '[EMAIL]' WHEN 'phone' THEN '[PHONE]' WHEN 'salary' THEN '[SALARY]' ELSE '[REDACTED]' END AS replacement_label FROM w""",
+    "report_pivot": f"""WITH {_HITS} SELECT o_orderkey AS document_id, count(*) FILTER (entity_type = 'email') AS count_email, count(*) FILTER (entity_type = 'phone') AS count_phone,
+        count(*) FILTER (entity_type = 'gender') AS count_gender, count(*) FILTER (entity_type = 'salary') AS count_salary, CAST(0 AS BIGINT) AS count_passport
+        FROM orders LEFT JOIN r ON o_orderkey = document_id GROUP BY o_orderkey""",
+    "span_scoring": f"""WITH {_HITS}, g AS (SELECT DISTINCT document_id, entity_type, s, e FROM m), q AS (SELECT DISTINCT document_id, entity_type, s, e FROM r WHERE entity_type <> 'gender'),
+        j AS (SELECT coalesce(g.entity_type, q.entity_type) AS entity_type, g.s AS gs, q.s AS qs FROM g FULL JOIN q ON g.document_id = q.document_id AND g.entity_type = q.entity_type AND g.s = q.s AND g.e = q.e),
+        n AS (SELECT entity_type, count(gs) AS gold, count(qs) AS predicted, count(*) FILTER (gs IS NOT NULL AND qs IS NOT NULL) AS correct FROM j GROUP BY entity_type)
+        SELECT *, CASE WHEN predicted > 0 THEN round(correct / predicted, 4) END AS precision, CASE WHEN gold > 0 THEN round(correct / gold, 4) END AS recall FROM n""",
+    "dedupe_sha256": "SELECT doc_id, sha256(text) AS content_sha256, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) > 1 AS duplicate FROM documents",
+    "batch_file_cap": "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) > 20 AS refused FROM documents",
+    "url_gate": """WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages)
+        SELECT page_id, CASE WHEN page_id % 3 = 0 AND host = (SELECT min(host) FROM p) AND NOT regexp_matches(url, '[?#]') AND NOT regexp_matches(regexp_replace(url, '^https?://', ''), '//|/$') THEN 'cv.pdf' END AS filename FROM p""",
+    "pasted_links": "SELECT page_id, unnest([1, 2])::BIGINT AS position, unnest([url, url || '?b']) AS href FROM pages",
+    "declared_types": "SELECT * FROM (VALUES (1, false), (2, true), (3, false), (4, true), (5, false), (6, false), (7, true)) t(id, disagrees)",
+    "next_document": "SELECT o_custkey AS batch_id, o_orderkey AS document_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_custkey % 2 = 0 ORDER BY c_custkey % 97, c_custkey, o_orderdate, o_orderkey LIMIT 1",
+    "settled_batches": "SELECT o_custkey AS batch_id, bool_and(o_orderstatus <> 'O') AS settled FROM orders GROUP BY o_custkey",
+    "reconcile": "SELECT c_custkey AS ref, CASE WHEN count(o_orderkey) = 0 THEN 'orphan' WHEN bool_or(o_orderstatus = 'O') THEN 'in_use' ELSE 'unneeded' END AS verdict FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(substring(text, 1, 30))), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
+}
