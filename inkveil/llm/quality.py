@@ -73,10 +73,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     """Weights that minimise the non-negative PU risk with logistic loss, by full-batch Adam steps.
 
     Risk: prior E_p[l(z)] + max(0, E_u[l(-z)] - prior E_p[l(-z)]). Where the second term goes below zero, the step
-    climbs it instead, which keeps the classifier from treating unlabelled positives as negatives.
+    climbs it instead, which keeps the classifier from treating unlabelled positives as negatives. Both float32 arrays are
+    overwritten.
     """
     mean, scale = unlabelled.mean(0), np.sqrt(unlabelled.var(0) + 1e-7)
-    p, u = (np.clip((x - mean) / scale, -5, 5).astype(np.float32) for x in (positive, unlabelled))
+    p, u = positive, unlabelled
+    for x in (p, u):  # in place: the driver holds each sample once
+        x -= mean
+        x /= scale
+        np.clip(x, -5, 5, out=x)
     w, b, m, v = np.zeros(p.shape[1], np.float32), 0.0, np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -127,11 +132,17 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x = features(*text_buffer(b.column("text")))
-            yield pa.record_batch([b.column("doc_id"), pc.fill_null(b.column("trusted"), False), b.column("open"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "trusted", "open", "x"])
+            yield pa.record_batch([b.column("doc_id"), pc.fill_null(b.column("trusted"), False), b.column("open"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["doc_id", "trusted", "open", "x"])
 
     rows = picked.select("doc_id", "trusted", "open", "text").mapInArrow(run, "doc_id long, trusted boolean, open boolean, x binary").limit(2 * (positives + unlabelled)).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["x"]))  # the same sums whichever task came first
-    x = {k: np.frombuffer(b"".join(r["x"] for r in rows if r[k]), np.float32).reshape(-1, WIDTH) for k in ("trusted", "open")}
+    x = {}
+    for k in ("trusted", "open"):
+        mine = [r["x"] for r in rows if r[k]]
+        x[k] = np.empty((len(mine), WIDTH), np.float32)
+        for i, raw in enumerate(mine):
+            x[k][i] = np.frombuffer(raw, np.float16)
+    del rows
     if not len(x["trusted"]) or not len(x["open"]):
         return None
     return fit(x["trusted"], x["open"], float(np.clip(counts[0] / counts[1], 0.05, 0.95)))
