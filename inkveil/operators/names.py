@@ -1,0 +1,227 @@
+"""Names of candidates and referees: labelled, at the top of a document, in reference sections, and repeated elsewhere.
+
+Shapes are patterns over the tokens joined by one space. Only lines that a rule can use leave their row: those with a
+name label, the first six that are not blank, and the lines of reference sections; nothing else of a text is shuffled.
+Folding keeps offsets (see functions.text). Null or empty texts give no names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from inkveil.functions import catalogue as c
+from inkveil.functions.text import any_of, fold, lines, spans
+from inkveil.operators import sections
+
+PART = ["document_id", "part_seq"]
+_PIECE = r"(?:\p{Lu}{2,}|\p{Lu}\p{Ll}+)"
+_WORD = rf"{_PIECE}(?:-{_PIECE})*"
+_INITIAL = r"\p{Lu}\.*"
+_SHAPE = rf"^{_WORD}(?: {_WORD})*(?: {_INITIAL})*$"
+_LABEL = rf"(?U)^([\s\-*•·]*(?:{any_of(c.NAME_LABELS)})\s*[:：]\s*)\S"
+_ADDRESSED = rf"(?U)^([\s\-*•·\d.)]*(?:{any_of(c.HONORIFICS)})\.?\s+)\S"
+_SEGMENT_END = r"(?Us)(?:[|•·;,(\t]|\s[-–—]\s|\s{2}).*$"
+_NO_NAME = rf"(?U)(?:^| )(?:{any_of(c.NOT_IN_NAMES)})(?: |$)|(?<![\p{{L}}\p{{N}}])(?:{any_of(c.NOT_NAMES)})(?![\p{{L}}\p{{N}}])"
+_MAIL_LOCAL = r"([A-Za-z0-9._%+\-]+)@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
+
+
+def bare(tokens: Column) -> Column:
+    """Folded tokens without dots around them."""
+    return F.transform(tokens, lambda t: F.btrim(fold(t), F.lit(".")))
+
+
+def excluded(tokens: Column) -> Column:
+    """True for tokens that hold a word or phrase no name has, or that read as a heading."""
+    joined = F.array_join(bare(tokens), " ")
+    heading = F.lit(False)
+    for _, words in sections.KINDS:
+        heading = heading | joined.rlike(sections.heading_pattern(words))
+    return joined.rlike(_NO_NAME) | ((F.length(joined) <= c.MAX_HEADING_CHARS) & heading)
+
+
+def name_shaped(tokens: Column, least: int = 2) -> Column:
+    """Between least and five tokens in title case or capitals, then initials, and nothing excluded."""
+    return F.size(tokens).between(least, 5) & F.array_join(tokens, " ").rlike(_SHAPE) & ~excluded(tokens)
+
+
+def leading_segment(rows: DataFrame, offset: Column) -> DataFrame:
+    """rows of lines with `from`, `to` and `tokens` of what the line begins with at offset, before a separator or the next
+    label; rows where nothing is left go."""
+    rest = F.col("__rest")
+    rows = rows.withColumn("__rest", F.substring("line", offset + 1, F.length("line"))).withColumn("__skip", offset + F.length(F.regexp_extract(rest, r"^[ \t\-*•·]*", 0)))
+    head = F.regexp_replace(F.regexp_replace(rest, r"^[ \t\-*•·]+", ""), _SEGMENT_END, "")
+    head = F.when(head.contains(":"), F.regexp_extract(head, r"(?s)^([^:]+) [^ :]*:", 1)).otherwise(head)
+    rows = rows.withColumn("__head", F.regexp_replace(head, r"(?U)\s+$", "")).where("__head <> ''")
+    at = F.col("start") + F.col("__skip")
+    return rows.select(*[x for x in rows.columns if not x.startswith("__")], at.cast("int").alias("from"), (at + F.length("__head")).cast("int").alias("to"), F.split("__head", r"(?U)\s+").alias("tokens"), F.col("__head").rlike(r"(?U)\d").alias("digits"))
+
+
+def _hit(entity: str, score: Column, detector: Column, signals: Column) -> list[Column]:
+    return [F.col(x) for x in PART] + [F.lit(entity).alias("entity_type"), F.col("from").alias("start"), F.col("to").alias("end"), score.alias("confidence"), detector.alias("detector_id"), signals.cast("array<string>").alias("signals")]
+
+
+def _words(*signals: str) -> Column:
+    return F.array(*[F.lit(s) for s in signals])
+
+
+def in_reference(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (lines) with `referee`: whether their start lies in a reference section."""
+    at = sections.sections(parts).where("kind = 'reference'").groupBy(*PART).agg(F.collect_list(F.struct("start", "end")).alias("__r"))
+    inside = F.exists("__r", lambda r: (r["start"] <= F.col("start")) & (F.col("start") < r["end"]))
+    return rows.join(at, PART, "left").withColumn("referee", F.coalesce(inside, F.lit(False))).drop("__r")
+
+
+def labelled(parts: DataFrame) -> DataFrame:
+    """Values of name labels with `tokens`: referees' inside reference sections, else the candidate's. Values with digits
+    are none; misshapen ones score lower, and are dropped for the candidate where excluded words stand in them."""
+    rows = lines(parts).withColumn("folded", fold(F.col("line"))).where(F.col("folded").rlike(_LABEL))
+    rows = leading_segment(in_reference(rows, parts), F.length(F.regexp_extract("folded", _LABEL, 1))).where("not digits")
+    rows = rows.withColumn("shaped", name_shaped(F.col("tokens"))).where(F.col("shaped") | F.col("referee") | ~excluded(F.col("tokens")))
+    score = F.when(F.col("shaped"), c.NAME_LABELLED).otherwise(c.NAME_MISSHAPEN)
+    signals = F.when(F.col("referee"), _words("reference_section", "label")).when(F.col("shaped"), _words("label")).otherwise(_words("label", "shape_mismatch"))
+    detector = F.when(F.col("referee"), "reference_name.label").otherwise("name.label")
+    out = rows.select(*_hit("candidate_name", score, detector, signals), "tokens", "referee")
+    return out.withColumn("entity_type", F.when(F.col("referee"), "reference_name").otherwise(F.col("entity_type"))).drop("referee")
+
+
+def referees(parts: DataFrame) -> DataFrame:
+    """Names that begin lines of reference sections: after a form of address, or by their shape alone."""
+    holding = parts.join(sections.sections(parts).where("kind = 'reference'").select(*PART).distinct(), PART, "left_semi")
+    rows = in_reference(lines(holding), holding).where("referee").withColumn("folded", fold(F.col("line"))).where(~F.col("folded").rlike(_LABEL))
+    addressed = F.col("folded").rlike(_ADDRESSED)
+    rows = rows.withColumn("addressed", addressed)
+    rows = leading_segment(rows, F.when(F.col("addressed"), F.length(F.regexp_extract("folded", _ADDRESSED, 1))).otherwise(0))
+    rows = rows.where(F.when(F.col("addressed"), name_shaped(F.col("tokens"), 1) & (F.size("tokens") <= 4)).otherwise(name_shaped(F.col("tokens"))))
+    score = F.when(F.col("addressed"), c.NAME_HONORIFIC).otherwise(c.NAME_REFERENCE)
+    detector = F.when(F.col("addressed"), "reference_name.honorific").otherwise("reference_name.line")
+    signals = F.when(F.col("addressed"), _words("reference_section", "honorific")).otherwise(_words("reference_section", "line_start"))
+    return rows.select(*_hit("reference_name", score, detector, signals))
+
+
+def mail_words(parts: DataFrame) -> DataFrame:
+    """document_id, mail: pieces of two letters or more of the local parts of all e-mail addresses of a document."""
+    local = F.explode(F.regexp_extract_all("text", F.lit(_MAIL_LOCAL), F.lit(1)))
+    piece = parts.select("document_id", local.alias("x")).select("document_id", F.explode(F.split(fold(F.col("x")), r"[._%+\-\d]+")).alias("w")).where(F.length("w") >= 2)
+    return piece.groupBy("document_id").agg(F.collect_set("w").alias("mail"))
+
+
+def mail_agrees(tokens: Column, mail: Column) -> Column:
+    """Whether e-mail pieces speak for folded tokens: two of them (or the only one) literally, or one as part of a piece."""
+    strong = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(*c.WEAK_IN_MAIL))
+    same = F.size(F.filter(strong, lambda t: F.array_contains(mail, t)))
+    near = F.exists(strong, lambda t: F.exists(mail, lambda m: (F.length(m) >= 3) & (m.startswith(t) | m.endswith(t) | ((F.length(t) >= 4) & m.contains(t)))))
+    return F.coalesce((same > 0) & (same >= F.least(F.lit(2), F.size(strong))) | near, F.lit(False))
+
+
+def _top_lines(parts: DataFrame) -> DataFrame:
+    """The first six lines that are not blank of contact parts, as far as they stand before a heading; within the row."""
+    pieces = F.split("text", "\n", -1)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("no"), F.array().cast("array<struct<line_no:int,start:int,line:string>>").alias("out"))
+    blank = lambda x: ~x.rlike(r"(?U)\S")
+
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["out"]) >= c.HEADER_LINES
+        grown = F.concat(s["out"], F.array(F.struct(s["no"].alias("line_no"), s["at"].alias("start"), x.alias("line"))))
+        return F.struct((s["at"] + F.length(x) + 1).alias("at"), (s["no"] + 1).alias("no"), F.when(full | blank(x), s["out"]).otherwise(grown).alias("out"))
+
+    top = F.aggregate(pieces, zero, step, lambda s: s["out"])
+    each = parts.where(sections.is_contact_part()).select(*PART, F.posexplode(top).alias("rank", "l")).select(*PART, "rank", "l.*")
+    kind = sections.heading_kind(each.withColumn("folded", fold(F.col("line"))).withColumn("end", F.col("start") + F.length("line")))
+    stop = F.min(F.when(F.col("kind").isNotNull(), F.col("rank"))).over(Window.partitionBy(*PART))
+    return kind.withColumn("__stop", stop).where("__stop is null or rank < __stop").drop("__stop")
+
+
+def leading_name(rows: DataFrame) -> DataFrame:
+    """rows of lines with `from`, `to`, `tokens` of the name they begin with, before contact data, titles or a separator;
+    rows without one, or with a colon behind it, go."""
+    lead = F.length(F.regexp_extract("line", r"(?U)^[\s\-*•·]*", 0))
+    rows = rows.withColumn("__lead", lead).withColumn("__run", F.regexp_extract(F.expr("substring(line, __lead + 1)"), r"^[^|•·;,:]*", 0))
+    rows = rows.withColumn("__t", F.transform(F.regexp_extract_all("__run", F.lit(r"(?U)\S+"), F.lit(0)), lambda t: F.btrim(t, F.lit("()[]"))))
+    rows = rows.withColumn("__t", F.slice("__t", 1, 6))
+    initial = F.transform("__t", lambda t, i: t.rlike(rf"^{_INITIAL}$") & (i > 0))
+    foreign = F.transform("__t", lambda t: ~t.rlike(rf"^(?:{_WORD}|{_INITIAL})$") | F.btrim(fold(t), F.lit(".")).isin(*c.NOT_IN_NAMES))
+    stop, last = F.array_position(foreign, True), F.array_position(initial, True)
+    n = F.least(F.when(stop > 0, stop - 1), F.when(last > 0, last), F.size("__t").cast("long"), F.lit(5).cast("long"))
+    rows = rows.withColumn("__n", n.cast("int")).where("__n >= 2").withColumn("tokens", F.slice("__t", F.lit(1), F.col("__n")))
+    rows = rows.withColumn("__size", _prefix_length(F.col("__run"), F.col("__n")))
+    rows = rows.where(name_shaped(F.col("tokens"))).where(~F.expr("substring(line, __lead + __size + 1)").rlike(r"(?U)^\s*[:：]"))
+    at = F.col("start") + F.col("__lead")
+    return rows.select(*[x for x in rows.columns if not x.startswith("__") and x != "tokens"], at.cast("int").alias("from"), (at + F.col("__size")).cast("int").alias("to"), "tokens")
+
+
+def _prefix_length(run: Column, n: Column) -> Column:
+    """Characters of run up to the end of its n-th token, n from 2 to 5."""
+    out = F.lit(0)
+    for k in range(2, 6):
+        out = F.when(n == k, F.length(F.regexp_extract(run, rf"(?U)^(?:\s*+\S++){{{k}}}", 0))).otherwise(out)
+    return out
+
+
+def headers(parts: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """The best unlabelled name at the top of each contact part, with `tokens`; the earlier line where scores are equal.
+
+    heights (document_id, part_seq, line_no, height): the tallest box of each line, where a layout is known.
+    """
+    rows = _top_lines(parts).where(~F.col("folded").rlike(_LABEL))
+    rows = leading_name(rows).join(mail_words(parts), "document_id", "left").withColumn("__f", F.transform("tokens", fold))
+    large = F.lit(False)
+    if heights is not None:
+        typical = heights.groupBy(*PART).agg(F.when(F.count("*") >= 2, F.median("height")).alias("__mid"), F.max("height").alias("__max"))
+        rows = rows.join(heights.select(*PART, "line_no", "height"), [*PART, "line_no"], "left").join(typical, PART, "left")
+        large = F.coalesce((F.col("height") >= F.col("__mid") * c.LARGE_FONT) & (F.col("height") >= F.col("__max") * 0.95), F.lit(False))
+    family = F.element_at("__f", 1).isin(*c.FAMILY_NAMES) | F.element_at("__f", -1).isin(*c.FAMILY_NAMES)
+    signs = {"top_of_page": F.lit(True), "first_line": F.col("rank") == 0, "vn_surname": family, "largest_font": large, "email_match": mail_agrees(F.col("__f"), F.col("mail"))}
+    score = sum((F.when(on, c.HEADER_SCORES[s]).otherwise(0.0) for s, on in signs.items()), F.lit(0.0))
+    signals = F.filter(F.array(*[F.when(on, s) for s, on in signs.items()]), lambda x: x.isNotNull())
+    rows = rows.select(*_hit("candidate_name", F.round(F.least(score, F.lit(c.HEADER_CAP)), 2), F.lit("name.header"), signals), "tokens", "rank")
+    first = F.struct(F.col("confidence"), -F.col("rank"))
+    kept = [x for x in rows.columns if x not in (*PART, "rank")]
+    return rows.groupBy(*PART).agg(F.max_by(F.struct(*kept), first).alias("b")).select(*PART, "b.*")
+
+
+def anchors(parts: DataFrame, heights: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Occurrences of the candidate's name to search for elsewhere: labelled ones, and the best header of the document
+    unless a label gives the same tokens."""
+    named = (labelled(parts) if named is None else named).where("entity_type = 'candidate_name'").withColumn("__f", F.transform("tokens", fold))
+    top = headers(parts, heights).withColumn("__f", F.transform("tokens", fold))
+    top = top.join(named.select("document_id", "__f"), ["document_id", "__f"], "left_anti")
+    kept = [x for x in top.columns if x != "document_id"]
+    best = top.groupBy("document_id").agg(F.max_by(F.struct(*kept), F.struct(F.col("confidence"), -F.col("part_seq"))).alias("b")).select("document_id", "b.*")
+    return named.unionByName(best.select(*named.columns)).withColumnRenamed("__f", "folded_tokens")
+
+
+def variants(tokens: Column) -> Column:
+    """The tokens, last first, first and last, last and first; each order once."""
+    n = F.size(tokens)
+    last = F.slice(tokens, F.greatest(n, F.lit(1)), 1)
+    turned = F.concat(last, F.slice(tokens, F.lit(1), n - 1))
+    ends = F.concat(F.slice(tokens, 1, 1), last)
+    more = F.when(n >= 3, F.array(tokens, turned, ends, F.reverse(ends))).when(n == 2, F.array(tokens, turned)).otherwise(F.array(tokens))
+    return F.array_distinct(more)
+
+
+def repeats(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """Whole-word occurrences of the anchors' variants in all parts of their document, but for an anchor's own place.
+
+    Anchors with the same tokens search once: each of several such places repeats the others.
+    """
+    asked = found.groupBy("document_id", "folded_tokens").agg(F.max("confidence").alias("confidence"), F.max_by("signals", F.struct(F.col("confidence"), -F.col("part_seq"), -F.col("start"))).alias("signals"), F.count("*").alias("n"), F.first(F.struct("part_seq", "start", "end")).alias("own"))
+    quoted = F.transform("v", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E")))
+    asked = asked.withColumn("v", F.explode(variants(F.col("folded_tokens")))).withColumn("pattern", F.concat(F.lit(r"(?U)(?<![\p{L}\p{N}])"), F.array_join(quoted, r"\s+"), F.lit(r"(?![\p{L}\p{N}])"))).select("document_id", "pattern", "confidence", "signals", "n", "own")
+    texts = parts.select(*PART, fold(F.col("text")).alias("__t"))
+    hits = texts.join(asked, "document_id").select(*PART, "confidence", "signals", "n", "own", F.explode(spans(F.col("__t"), F.col("pattern"))).alias("s"))
+    own = (F.col("n") == 1) & (F.col("own.part_seq") == F.col("part_seq")) & (F.col("own.start") == F.col("s.start")) & (F.col("own.end") == F.col("s.end"))
+    hits = hits.where(~own).select(*PART, "confidence", "signals", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
+    return hits.select(*_hit("candidate_name", F.col("confidence"), F.lit("name.repeat"), F.concat("signals", _words("repeat"))))
+
+
+def name_hits(parts: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """All name hits of parts (document_id, part_seq, page_number, part_name, text), with seq in the order of the rules."""
+    named = labelled(parts)
+    found = anchors(parts, heights, named)
+    far = lambda df, k: df.withColumn("seq", (F.lit(k << 24) + F.col("start")).cast("int"))
+    columns = [*PART, "seq", "entity_type", "start", "end", "confidence", "detector_id", "signals"]
+    made = [named.where("entity_type = 'reference_name'"), referees(parts), found, repeats(parts, found)]
+    out = [far(df, 10 + k).select(*columns) for k, df in enumerate(made)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

@@ -13,7 +13,7 @@ _TAIL = rf"(?:\s*(?:[/|&]|\band\b)\s*(?:{any_of(c.REFERENCE_HEADINGS + c.FAMILY_
 KINDS = (("reference", c.REFERENCE_HEADINGS), ("family", c.FAMILY_HEADINGS), ("other", c.OTHER_HEADINGS))
 
 
-def _pure(headings: tuple[str, ...]) -> str:
+def heading_pattern(headings: tuple[str, ...]) -> str:
     return rf"(?U)^{_BULLET}(?:{any_of(headings)}){_TAIL}\s*[:：]?\s*$"
 
 
@@ -26,11 +26,15 @@ def classified(parts: DataFrame) -> DataFrame:
 
     The patterns backtrack on long blank runs, so they meet lines of bounded length only, within one expression.
     """
-    rows = lines(parts).withColumn("folded", fold(F.col("line")))
+    return heading_kind(lines(parts).withColumn("folded", fold(F.col("line"))))
+
+
+def heading_kind(rows: DataFrame) -> DataFrame:
+    """Lines (start, folded) with `kind` and `content`."""
     short = F.length("folded") <= c.MAX_HEADING_CHARS
     kind = F.when(~short, F.lit(None).cast("string"))
     for name, headings in KINDS:
-        kind = kind.when(F.col("folded").rlike(_pure(headings)), name)
+        kind = kind.when(F.col("folded").rlike(heading_pattern(headings)), name)
     inline = F.lit(None).cast("int")
     for name, headings in reversed(KINDS[:2]):
         inline = F.when(F.col("folded").rlike(_inline(headings)), F.length(F.regexp_extract("folded", _inline(headings), 1))).otherwise(inline)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators import detect, resolve, sections, verify
+from inkveil.operators import detect, names, resolve, sections, verify
 
 MAIN_PART = "word/document.xml"
 
@@ -21,7 +21,7 @@ def all_hits(parts: DataFrame) -> DataFrame:
     far = F.lit(1 << 20)
     family = sections.family_hits(parts).withColumn("seq", (far + F.col("start")).cast("int"))
     places = sections.contact_addresses(parts).withColumn("seq", (2 * far + F.col("start")).cast("int"))
-    return base.unionByName(family.select(*base.columns)).unionByName(places.select(*base.columns))
+    return base.unionByName(family.select(*base.columns)).unionByName(places.select(*base.columns)).unionByName(names.name_hits(parts).select(*base.columns))
 
 
 def redacted(parts: DataFrame, hits: DataFrame, mask_salary: bool = True) -> DataFrame:
