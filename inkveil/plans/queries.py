@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import fold, lines, spans
-from inkveil.operators import jobs, reports, resolve, sections, verify
+from inkveil.operators import jobs, names, reports, resolve, sections, verify
 from inkveil.operators.detect import detect
 from inkveil.plans.detection import parts_of, redacted, verdicts, all_hits
-from inkveil.sources import admission
+from inkveil.sources import admission, docx
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +60,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where(~F.col("text").rlike("[ßẞ]")).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha256"))
+    return docs(spark, sf_dir).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha256"))
 
 
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,15 +178,52 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 30).alias("value"))
-    return d.select("doc_id", verify.value_pattern(F.lit("email"), F.col("value")).isNotNull().alias("searched"))
+    return docs(spark, sf_dir).select("doc_id", verify.value_pattern(F.lit("email"), F.col("text")).isNotNull().alias("searched"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable)}
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a word package, a paragraph for each line, read again."""
+    return docx.read_packages(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), docx.packed(F.col("text")).alias("content")))
+
+
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = docx.parts_of_packages(packages(spark, sf_dir))
+    return parts.select(F.col("document_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def docx_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses found in the packages' text, replaced in the packages, whose text is then read once more."""
+    read = packages(spark, sf_dir)
+    parts = docx.parts_of_packages(read)
+    found = resolve.ranges(resolve.findings(resolve.resolve(detect(parts, ("shapes",)).where("entity_type = 'email'"))))
+    done = docx.write_packages(read.where("package.outcome = 'text'"), parts, found).select("document_id", "written.content")
+    out = docx.parts_of_packages(docx.read_packages(done))
+    return out.select(F.col("document_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def labelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled line for each customer, and the span of the name in it."""
+    last = F.concat(F.lit("Sample"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    line = F.concat(F.col("c_name"), F.lit("\n  - Full name: Jane "), last, F.lit(" | "), F.col("c_mktsegment"))
+    parts = parts_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), line.alias("text")))
+    return names.labelled(parts).select("document_id", "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "confidence")
+
+
+def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all documents by detector: no DuckDB form, tests hold the rules."""
+    return names.name_hits(parts_of(docs(spark, sf_dir))).groupBy("entity_type", "detector_id").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable, docx_text, docx_redacted, labelled_names, name_counts)}
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
 
+_LINES = "sha256(trim(regexp_replace({}, '\\n+', chr(10), 'g'), chr(10)))"
+
 ORACLE_SQL: dict[str, str] = {
+    "docx_text": f"SELECT doc_id, {_LINES.format('nfc_normalize(text)')} AS text_sha256 FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) BETWEEN 1 AND 300000",
+    "docx_redacted": "SELECT doc_id, " + _LINES.format(f"regexp_replace(nfc_normalize(text), '{_EMAIL}', '[EMAIL]', 'g')") + " AS text_sha256 FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) BETWEEN 1 AND 300000",
+    "labelled_names": "SELECT c_custkey AS document_id, 'candidate_name' AS entity_type, CAST(length(c_name) + 16 AS BIGINT) AS span_start, CAST(length(c_name) + 27 + length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS span_end, CAST(0.95 AS DOUBLE) AS confidence FROM customer",
     "email_redacted": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS BIGINT) AS n_findings, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS redacted_text FROM documents",
     "email_spans": f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents),
         x AS (SELECT doc_id, unnest(ms) AS v, unnest(ps[1:len(ms)]) AS b, unnest(range(0, len(ms))) AS i FROM m WHERE len(ms) > 0),
@@ -196,7 +233,7 @@ ORACLE_SQL: dict[str, str] = {
     "text_lines": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
         e AS (SELECT doc_id, i, x, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM l)
         SELECT doc_id, i AS line_no, CAST(e - length(x) AS BIGINT) AS line_start, CAST(e AS BIGINT) AS line_end FROM e""",
-    "folded_names": "SELECT doc_id, sha256(replace(strip_accents(lower(text)), 'đ', 'd')) AS folded_sha256 FROM documents WHERE NOT regexp_matches(text, '[ßẞ]')",
+    "folded_names": "SELECT doc_id, sha256(replace(strip_accents(lower(text)), 'đ', 'd')) AS folded_sha256 FROM documents",
     "merge_same_type": f"WITH {_HITS} SELECT document_id, entity_type, s AS span_start, e AS span_end, round(conf, 2) AS confidence FROM m",
     "resolve_hits": f"WITH {_HITS} SELECT document_id, entity_type, s AS span_start, e AS span_end, round(conf, 2) AS confidence FROM r",
     "policy_actions": f"WITH {_HITS} SELECT entity_type, CASE WHEN round(conf, 2) < 0.5 THEN 'discard' WHEN entity_type = 'salary' THEN 'detected_not_redacted' WHEN round(conf, 2) >= 0.85 THEN 'redact' ELSE 'redact_and_review' END AS action, count(*) AS n FROM r GROUP BY ALL",
@@ -221,5 +258,5 @@ ORACLE_SQL: dict[str, str] = {
     "next_document": "SELECT o_custkey AS batch_id, o_orderkey AS document_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND c_custkey % 2 = 0 ORDER BY c_custkey % 97, c_custkey, o_orderdate, o_orderkey LIMIT 1",
     "settled_batches": "SELECT o_custkey AS batch_id, bool_and(o_orderstatus <> 'O') AS settled FROM orders GROUP BY o_custkey",
     "reconcile": "SELECT c_custkey AS ref, CASE WHEN count(o_orderkey) = 0 THEN 'orphan' WHEN bool_or(o_orderstatus = 'O') THEN 'in_use' ELSE 'unneeded' END AS verdict FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(substring(text, 1, 30))), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
+    "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
 }
