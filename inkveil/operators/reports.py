@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
+from inkveil.functions.text import spans
 from inkveil.operators.resolve import entity_number
 
 
@@ -21,6 +22,34 @@ def report(documents: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("document_id", *[F.col(e).cast("long").alias(f"count_{e}") for e in c.ENTITIES])
 
 
+def batch_report(documents: DataFrame, found: DataFrame, hidden: DataFrame) -> DataFrame:
+    """document_id, status, error_code, count_* of every entity and hidden_* of every kind, for each of documents
+    (document_id, state, error_code). hidden: document_id, category, n."""
+    wide = hidden.groupBy("document_id").pivot("category", list(c.HIDDEN_KINDS)).agg(F.sum("n"))
+    out = documents.select("document_id", F.col("state").alias("status"), "error_code").join(report(documents, found), "document_id").join(wide, "document_id", "left").fillna(0, list(c.HIDDEN_KINDS))
+    return out.select("document_id", "status", "error_code", *[f"count_{e}" for e in c.ENTITIES], *[F.col(k).cast("long").alias(f"hidden_{k}") for k in c.HIDDEN_KINDS])
+
+
+def part_key(page_number: Column, part_name: Column) -> Column:
+    return F.when(page_number.isNotNull(), F.concat(F.lit("page:"), page_number.cast("string"))).when(part_name.isNotNull(), F.concat(F.lit("part:"), part_name)).otherwise("unknown")
+
+
+def gold_spans(parts: DataFrame, annotations: DataFrame) -> DataFrame:
+    """document_id, part_key, entity_type, start, end of every occurrence of the annotated values (document_id,
+    entity_type, value) in their document's parts; those inside longer ones go."""
+    keyed = parts.select("document_id", "text", part_key(F.col("page_number"), F.col("part_name")).alias("part_key"))
+    asked = annotations.where(F.length("value") > 0).distinct().withColumn("__p", F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    each = keyed.join(asked, "document_id").select("document_id", "part_key", "entity_type", F.explode(spans(F.col("text"), F.col("__p"))).alias("s"))
+    return gold_without_nested(each.select("document_id", "part_key", "entity_type", "s.start", "s.end"))
+
+
+def totals(outcomes: DataFrame) -> DataFrame:
+    """format, documents, failed, review_required, scored, leaked, failure_rate, review_rate of outcomes (document_id,
+    format, outcome, leaked; leaked is null where nothing was scored)."""
+    out = outcomes.groupBy("format").agg(F.count("*").alias("documents"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome") == "review_required").alias("review_required"), F.count_if((F.col("outcome") != "failed") & F.col("leaked").isNotNull()).alias("scored"), F.coalesce(F.sum(F.when(F.col("outcome") != "failed", F.col("leaked"))), F.lit(0)).alias("leaked"))
+    return out.withColumn("failure_rate", F.round(F.col("failed") / F.col("documents"), 4)).withColumn("review_rate", F.round(F.col("review_required") / F.col("documents"), 4))
+
+
 def gold_without_nested(gold: DataFrame) -> DataFrame:
     """Gold spans that no longer one of the same part covers."""
     part = (F.col("o.document_id") == F.col("g.document_id")) & (F.col("o.part_key") == F.col("g.part_key"))

@@ -30,9 +30,9 @@ def intact(content: Column, sha256: Column, size: Column) -> Column:
 
 def kind_of(content: Column) -> Column:
     """pdf, ole, zip or unsupported, by the first bytes; what a zip holds is for the DOCX reader to say."""
-    head = F.hex(F.substring(content, 1, 1024))
-    at = F.instr(head, "255044462D")  # %PDF-
-    return F.when(F.substring(head, 1, 16) == "D0CF11E0A1B11AE1", "ole").when(F.substring(head, 1, 8) == "504B0304", "zip").when((at > 0) & (at % 2 == 1), "pdf").otherwise("unsupported")
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    start = F.hex(F.substring(content, 1, 8))
+    return F.when(start == "D0CF11E0A1B11AE1", "ole").when(start.startswith("504B0304"), "zip").when(head.contains("%PDF-"), "pdf").otherwise("unsupported")
 
 
 def extension(filename: Column) -> Column:

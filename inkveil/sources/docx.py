@@ -28,6 +28,7 @@ _OLE = bytes.fromhex("d0cf11e0a1b11ae1")
 TYPES, MAIN = "[Content_Types].xml", "word/document.xml"
 READ = "struct<outcome:string,code:string,parts:array<struct<part_name:string,text:string>>,hidden:map<string,int>>"
 WRITTEN = "struct<code:string,content:binary>"
+MAX_TYPES_BYTES = 1 << 20
 _TEXT_ORDER = (MAIN, "word/header", "word/footer", "word/footnotes", "word/endnotes")
 
 
@@ -63,7 +64,7 @@ def unpack(data: bytes) -> dict[str, bytes]:
             if any(x.file_size > min(c.MAX_ENTRY_BYTES, c.MAX_RATIO * (x.compress_size or x.file_size)) for x in files) or sum(x.file_size for x in files) > c.MAX_PACKAGE_BYTES:
                 raise Refused("DOCX_RESOURCE_LIMIT")
             return {x.filename: archive.read(x) for x in files}
-    except (zipfile.BadZipFile, RuntimeError, ValueError, OSError, NotImplementedError, EOFError) as error:
+    except (zipfile.BadZipFile, RuntimeError, ValueError, OSError, NotImplementedError, EOFError, zlib.error) as error:
         raise Refused("DOCX_MALFORMED") from error
 
 
@@ -289,6 +290,24 @@ def write(data: bytes | None, ranges: list[tuple[str, int, int, str]]) -> dict:
         return {"code": e.code, "content": None}
 
 
+def office_kind(data: bytes | None) -> str:
+    """docx, macro_or_template or unsupported, by the content types alone; what a zip's other entries hold is not read."""
+    try:
+        with zipfile.ZipFile(BytesIO(data or b"")) as archive:
+            types = archive.read(TYPES) if archive.getinfo(TYPES).file_size <= MAX_TYPES_BYTES else b""
+    except (zipfile.BadZipFile, KeyError, RuntimeError, ValueError, OSError, NotImplementedError, EOFError, zlib.error):
+        return "unsupported"
+    if any(mark in types for mark in c.MACRO_MARKS):
+        return "macro_or_template"
+    return "docx" if b"wordprocessingml.document.main+xml" in types else "unsupported"
+
+
+def identified(content: Column, head_kind: Column) -> Column:
+    """The kind of a file by its content: head_kind of admission.kind_of(), a zip looked into."""
+    inside = F.pandas_udf(lambda s: s.map(office_kind), "string")(F.when(head_kind == "zip", content))
+    return F.when(head_kind == "zip", inside).when(head_kind == "pdf", "pdf").otherwise("unsupported")
+
+
 def plain_package(text: str | None) -> bytes:
     """The least package that holds a text, a paragraph for each line."""
     from xml.sax.saxutils import escape
