@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import fold, lines, spans
-from inkveil.operators import jobs, names, reports, resolve, sections, verify
+from inkveil.operators import geometry, jobs, names, reports, resolve, sections, verify
 from inkveil.operators.detect import detect
 from inkveil.plans.detection import parts_of, redacted, verdicts, all_hits
-from inkveil.sources import admission, docx
+from inkveil.sources import admission, docx, export
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,7 +214,37 @@ def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.name_hits(parts_of(docs(spark, sf_dir))).groupBy("entity_type", "detector_id").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable, docx_text, docx_redacted, labelled_names, name_counts)}
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents set on pages, ten to a line, put together again."""
+    each = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(F.regexp_extract_all("text", F.lit("[^ \\n\\t\\r]+"), F.lit(0))).alias("word_seq", "word"))
+    x0, y0 = (F.col("word_seq") % 10 * 50).cast("double"), (F.floor(F.col("word_seq") / 10) * 12).cast("double")
+    words = each.select("document_id", F.lit(1).alias("page_number"), "word_seq", "word", x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 7).alias("y1"))
+    return geometry.page_parts(words).select(F.col("document_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a document holds its own first word, between blanks, as gold."""
+    parts = parts_of(docs(spark, sf_dir))
+    asked = parts.select("document_id", F.lit("candidate_name").alias("entity_type"), F.regexp_extract("text", "[^ \\n\\t\\r]+", 0).alias("value"))
+    return reports.gold_spans(parts, asked).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n"), F.max("end").cast("long").alias("last_end"))
+
+
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' files in batches by nation and segment: many share a name."""
+    rows = table(spark, sf_dir, "customer")
+    batch = F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    found = export.archive_names(rows.select(F.col("c_custkey").alias("document_id"), batch.alias("batch_id"), F.col("c_custkey").alias("arrival"), F.lit("up/CV: x.PDF").alias("filename"), F.lit("pdf").alias("kind")))
+    return found.select("document_id", "masked_name", "folder")
+
+
+def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve.resolve(synthetic_hits(spark, sf_dir))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lower("o_orderstatus").alias("state"), F.lit("").alias("error_code"))
+    hidden = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_linenumber") == 1, "comments").otherwise("glossary").alias("category"), F.lit(1).alias("n"))
+    return reports.batch_report(orders, found, hidden).select("document_id", "status", "count_email", "count_salary", "hidden_comments", "hidden_glossary", "hidden_forms")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable, docx_text, docx_redacted, labelled_names, name_counts, page_text, gold_spans, archive_names, batch_report)}
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
 
@@ -223,6 +253,16 @@ _LINES = "sha256(trim(regexp_replace({}, '\\n+', chr(10), 'g'), chr(10)))"
 ORACLE_SQL: dict[str, str] = {
     "docx_text": f"SELECT doc_id, {_LINES.format('nfc_normalize(text)')} AS text_sha256 FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) BETWEEN 1 AND 300000",
     "docx_redacted": "SELECT doc_id, " + _LINES.format(f"regexp_replace(nfc_normalize(text), '{_EMAIL}', '[EMAIL]', 'g')") + " AS text_sha256 FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) BETWEEN 1 AND 300000",
+    "page_text": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\n\\t\\r]+') AS ws FROM documents), x AS (SELECT doc_id, unnest(ws) AS v, unnest(range(0, len(ws))) AS i FROM w)
+        SELECT doc_id, sha256(string_agg(CASE WHEN i = 0 THEN '' WHEN i % 10 = 0 THEN chr(10) ELSE ' ' END || v, '' ORDER BY i)) AS text_sha256, count(*) AS n_spans FROM x GROUP BY doc_id""",
+    "gold_spans": """WITH f AS (SELECT doc_id, text, regexp_extract(text, '[^ \\n\\t\\r]+') AS v FROM documents), c AS (SELECT doc_id, length(v) AS k, string_split(text, v) AS ps FROM f WHERE v <> '')
+        SELECT doc_id, CAST(len(ps) - 1 AS BIGINT) AS n, CAST(list_sum(list_transform(ps[1:len(ps) - 1], lambda x: length(x) + k)) AS BIGINT) AS last_end FROM c""",
+    "archive_names": """WITH r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)
+        SELECT CAST(c_custkey AS VARCHAR) AS document_id, CASE WHEN n = 1 THEN 'masked_CV_ x.pdf' ELSE 'masked_CV_ x-' || n || '.pdf' END AS masked_name, CASE WHEN n = 1 THEN 'CV_ x' ELSE 'CV_ x ' || n END AS folder FROM r""",
+    "batch_report": f"""WITH {_HITS}, k AS (SELECT document_id, count(*) FILTER (entity_type = 'email') AS e, count(*) FILTER (entity_type = 'salary') AS s FROM r GROUP BY ALL),
+        hid AS (SELECT l_orderkey AS document_id, count(*) FILTER (l_linenumber = 1) AS a, count(*) FILTER (l_linenumber <> 1) AS b FROM lineitem GROUP BY ALL)
+        SELECT o_orderkey AS document_id, lower(o_orderstatus) AS status, coalesce(e, 0) AS count_email, coalesce(k.s, 0) AS count_salary, coalesce(a, 0) AS hidden_comments, coalesce(b, 0) AS hidden_glossary, CAST(0 AS BIGINT) AS hidden_forms
+        FROM orders LEFT JOIN k ON o_orderkey = k.document_id LEFT JOIN hid ON o_orderkey = hid.document_id""",
     "labelled_names": "SELECT c_custkey AS document_id, 'candidate_name' AS entity_type, CAST(length(c_name) + 16 AS BIGINT) AS span_start, CAST(length(c_name) + 27 + length(CAST(c_custkey AS VARCHAR)) AS BIGINT) AS span_end, CAST(0.95 AS DOUBLE) AS confidence FROM customer",
     "email_redacted": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EMAIL}')) AS BIGINT) AS n_findings, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS redacted_text FROM documents",
     "email_spans": f"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS ms, string_split_regex(text, '{_EMAIL}') AS ps FROM documents),
