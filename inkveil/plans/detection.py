@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import detect, names, resolve, sections, verify
+from inkveil.plans.storage import stored
 
 MAIN_PART = "word/document.xml"
 
@@ -31,8 +32,8 @@ def redacted(parts: DataFrame, hits: DataFrame, mask_salary: bool = True) -> Dat
 
 def verdicts(parts: DataFrame, hits: DataFrame) -> DataFrame:
     """document_id, residual, uncertain, leaks, outcome: redacted text searched again for patterns and for its values."""
-    found = resolve.findings(resolve.resolve(hits))
-    done = resolve.redact(parts, resolve.ranges(found)).select("document_id", "part_seq", F.col("redacted").alias("text"))
+    found = stored(resolve.findings(resolve.resolve(hits)))
+    done = stored(resolve.redact(parts, resolve.ranges(found)).select("document_id", "part_seq", F.col("redacted").alias("text")))
     held = found.where("action in ('redact', 'redact_and_review')").join(parts.select("document_id", "part_seq", "text"), ["document_id", "part_seq"])
     values = held.select("document_id", "entity_type", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
     leaks = verify.residues(values, done).groupBy("document_id").agg(F.count("*").alias("leaks"))
