@@ -69,3 +69,50 @@ def recover(documents: DataFrame) -> DataFrame:
     """Documents that were being worked on fail with a code, as after a crash."""
     busy = F.col("state").isin("validating", "processing", "verifying")
     return documents.withColumn("error_code", F.when(busy, "JOB_INTERRUPTED")).withColumn("state", F.when(busy, "failed").otherwise(F.col("state")))
+
+
+def code_group(code: Column) -> Column:
+    """What an error code belongs to; a macro file is refused as an upload although its code names the format."""
+    out = F.when(code == "DOCX_MACRO_OR_TEMPLATE", "upload")
+    for start, group in c.CODE_GROUPS.items():
+        out = out.when(code.startswith(start), group)
+    return out.when(code.isNotNull(), "internal")
+
+
+def retryable(code: Column) -> Column:
+    return F.coalesce(code.isin(*c.RETRYABLE), F.lit(False))
+
+
+def code_format(code: Column) -> Column:
+    """The only format a code fits, or null."""
+    docx = (code.startswith("DOCX_") & (code != "DOCX_MACRO_OR_TEMPLATE")) | (code == "VERIFY_STRUCTURE_MISMATCH")
+    return F.when(code.startswith("PDF_") | (code == "VERIFY_PAGE_COUNT_MISMATCH"), "pdf").when(docx, "docx")
+
+
+def reason_kind(reason: Column) -> Column:
+    """findings (a person may accept the output), verifier (may only deny it), blocking (may only delete the file)."""
+    return F.when(reason.isin(*c.FINDINGS_REASONS), "findings").when(reason == "VERIFY_REVIEW", "verifier").when(reason.rlike("^(PDF|DOCX)_"), "blocking")
+
+
+def primary_failure(codes: Column) -> Column:
+    """The most serious of a document's failure codes, or null."""
+    return F.get(F.array_intersect(F.array(*[F.lit(x) for x in c.FAILURE_ORDER]), codes), F.lit(0))
+
+
+def verified(outcome: Column, reasons: Column, codes: Column) -> Column:
+    """struct<state, review_reasons, error_code> after verification, for a document with reasons to be held (an array)."""
+    held = F.when(outcome == "review_required", F.array_union(reasons, F.array(F.lit("VERIFY_REVIEW")))).otherwise(reasons)
+    failed = outcome == "failed"
+    state = F.when(failed, "failed").when(F.size(held) > 0, "review_required").otherwise("completed")
+    return F.struct(state.alias("state"), F.when(failed, F.array().cast("array<string>")).otherwise(held).alias("review_reasons"), F.when(failed, primary_failure(codes)).alias("error_code"))
+
+
+def may_approve(state: Column, reasons: Column, outcome: Column) -> Column:
+    """Held for findings alone, and verified."""
+    only = (F.size(reasons) > 0) & F.forall(reasons, lambda r: F.coalesce(reason_kind(r) == "findings", F.lit(False)))
+    return F.coalesce((state == "review_required") & only & (outcome == "passed"), F.lit(False))
+
+
+def downloadable(state: Column, code: Column, has_output: Column) -> Column:
+    inspect = (state == "failed") & code.isin(*c.INSPECTABLE)
+    return has_output & (state.isin("completed", "review_required") | F.coalesce(inspect, F.lit(False)))
