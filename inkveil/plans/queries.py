@@ -12,6 +12,7 @@ from inkveil.functions.text import fold, lines, spans
 from inkveil.operators import geometry, jobs, names, reports, resolve, sections, verify
 from inkveil.operators.detect import detect
 from inkveil.plans.detection import parts_of, redacted, verdicts, all_hits
+from inkveil.plans.storage import stored
 from inkveil.sources import admission, docx, export
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +194,7 @@ def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docx_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses found in the packages' text, replaced in the packages, whose text is then read once more."""
-    read = packages(spark, sf_dir)
+    read = stored(packages(spark, sf_dir))
     parts = docx.parts_of_packages(read)
     found = resolve.ranges(resolve.findings(resolve.resolve(detect(parts, ("shapes",)).where("entity_type = 'email'"))))
     done = docx.write_packages(read.where("package.outcome = 'text'"), parts, found).select("document_id", "written.content")

@@ -44,6 +44,7 @@ def word(name: str) -> str:
     return _WORD + name
 
 
+_RUN_LOOK, _TEXT, _TAB, _PARAGRAPH, _BREAKS = word("rPr"), word("t"), word("tab"), word("p"), (word("br"), word("cr"))
 _HIDING = {word(x) for x in c.VANISHED}
 _UNREAD = {word(x) for x in ("instrText", "del", "moveFrom")}
 _DROPPED = {word(x) for x in c.DROPPED_ELEMENTS}
@@ -104,17 +105,17 @@ def read_text(root: Node, instead: dict[int, str] | None = None) -> tuple[str, l
         if leaving:
             piece = "\n" if out and not out[-1].endswith("\n") else ""
         elif node.tag not in _UNREAD:
-            hidden = hidden or node.tag in _HIDING or any(k.tag in _HIDING for p in node.children if p.tag == word("rPr") for k in p.children)
-            if not hidden and node.tag == word("t"):
+            hidden = hidden or node.tag in _HIDING or any(k.tag in _HIDING for p in node.children if p.tag == _RUN_LOOK for k in p.children)
+            if not hidden and node.tag == _TEXT:
                 piece = unicodedata.normalize("NFC", (instead or {}).get(id(node), "".join("".join(x.texts) for x in node.walk())))
                 if piece:
                     runs.append((node, size, piece))
-            elif not hidden and node.tag == word("tab"):
+            elif not hidden and node.tag == _TAB:
                 piece = "\t"
-            elif not hidden and node.tag in (word("br"), word("cr")):
+            elif not hidden and node.tag in _BREAKS:
                 piece = "\n"
             else:
-                if node.tag == word("p"):
+                if node.tag == _PARAGRAPH:
                     todo.append((node, hidden, True))
                 todo += [(k, hidden, False) for k in reversed(node.children)]
         if piece:
@@ -202,16 +203,17 @@ def write_ranges(root: Node, edits: Edits, ranges: list[tuple[int, int, str]]) -
 
 def clean_part(root: Node, edits: Edits, is_text_part: bool) -> None:
     """Remove what no output keeps from one part: changes, comments, codes, vanished runs, descriptions, edit marks."""
+    run_tag, link, marks = word("r"), word("hyperlink"), word("rsid")
     for node in root.walk():
         if node.tag in _DROPPED:
             edits.delete(node)
         elif node.tag in _OPENED:
             edits.unwrap(node)
         elif is_text_part and node.tag in _HIDING:
-            run = node.parent.parent if node.parent is not None and node.parent.tag == word("rPr") else None
-            edits.delete(run if run is not None and run.tag == word("r") else node)
-        drop = {"descr", "title"} if node.local in ("docPr", "cNvPr") else {"tooltip"} if node.tag == word("hyperlink") else set()
-        drop |= {x.removeprefix(_WORD) for x in node.attributes if x.startswith(word("rsid"))}
+            run = node.parent.parent if node.parent is not None and node.parent.tag == _RUN_LOOK else None
+            edits.delete(run if run is not None and run.tag == run_tag else node)
+        drop = {"descr", "title"} if node.local in ("docPr", "cNvPr") else {"tooltip"} if node.tag == link else set()
+        drop |= {x.removeprefix(_WORD) for x in node.attributes if x.startswith(marks)}
         if drop:
             edits.drop_attributes(node, drop)
 
