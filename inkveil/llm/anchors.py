@@ -205,7 +205,7 @@ def pieces_by_shard(firsts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             rows = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 place = spread(begin[s:e], size[s:e])[1]
-                rows.append((int(bucket[s]), short[s:e].tobytes(), key[s:e].tobytes(), rank[s:e].tobytes(), (first[s:e] - token0[owner[s:e]]).astype("<i4").tobytes(), count[s:e].astype("<i2").tobytes(), size[s:e].astype("<i4").tobytes(), data[place].tobytes()))
+                rows.append((int(bucket[s]), short[s:e].tobytes(), key[s:e].tobytes(), rank[s:e].tobytes(), (first[s:e] - token0[owner[s:e]]).astype("<i4").tobytes(), count[s:e].astype("<i4").tobytes(), size[s:e].astype("<i4").tobytes(), data[place].tobytes()))
             if rows:
                 kinds = [pa.int64()] + [pa.binary()] * 7
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
@@ -227,7 +227,7 @@ class Shard:
 
 
 def load_shard(batches: Iterator[pa.RecordBatch]) -> Shard | None:
-    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int16, np.int32, np.uint8)
+    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8)
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for b in batches:
         for i, kind in enumerate(kinds):

@@ -50,6 +50,14 @@ def test_kept_texts(spark, rows):
     assert kept == sorted((str(r[0]), r[4]) for r in brute.op4(rows))
 
 
+@pytest.mark.parametrize("length", [40_000, 70_000])
+def test_long_runs_of_one_character(spark, length):
+    # a run's windows share one anchor, so the run is one piece, whose windows do not fit 16 bits
+    made = [(1, "left " + "-" * length + " one"), (2, "right " + "-" * length + " two")]
+    assert [tuple(r) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string")).orderBy("doc_id").collect()] == brute.op4(made)
+    assert brute.op4(made)[1][2] >= length
+
+
 def test_automaton_matching_statistics():
     r = random.Random(5)
     for _ in range(150):
