@@ -17,8 +17,12 @@ from inkveil.llm.components import connected_components
 #: A block group above this size is cut into tiles of pairs of parts, each of about this many fingerprints.
 TILE = 2048
 _MORE = np.uint64(0x9E3779B97F4A7C15)
-#: Fingerprints above which longer block keys are used; either choice is exact.
+#: Fingerprints above which near_dedup() takes longer block keys; either choice is exact.
 MANY = 1 << 24
+#: Orders of the bits that similar_groups() takes its 16-bit keys from, whatever the size of the input.
+ORDERS = 16
+#: Texts of a group that are compared by their shingles at once.
+VERIFIED = 256
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -170,11 +174,10 @@ def near_links(nodes: DataFrame, distance: int, keys: Callable[[np.ndarray, np.n
     return dealt.repartition(partitions(spark), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
-def _grouped(docs: DataFrame, fps: DataFrame, distance: int, keys: Callable | None) -> DataFrame:
+def _grouped(fps: DataFrame, distance: int) -> DataFrame:
     """fps (doc_id, fp, fp2) with component_id."""
     nodes = materialize(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    if keys is None:
-        keys = exact_keys(distance, distance + 2 if nodes.count() < MANY else distance + 4)
+    keys = exact_keys(distance, distance + 2 if nodes.count() < MANY else distance + 4)
     roots = connected_components(near_links(nodes, distance, keys))
     named = nodes.join(roots, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, ["fp", "fp2"], "left")
@@ -192,7 +195,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns other than the two named are not looked at.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed))
-    return _grouped(docs, fps, distance, None).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(fps, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def expected_bits(similarity: float, bits: int = 128) -> float:
@@ -200,19 +203,108 @@ def expected_bits(similarity: float, bits: int = 128) -> float:
     return bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, sets: bool) -> DataFrame:
+    """(doc_id, fp, fp2, node) of every row, or with `sets` (node, shingles): the sorted distinct shingle hashes.
+
+    node is a 64-bit hash of the distinct shingles: rows that share it have similarity one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            hashes = [shingle_hashes(t, shingle, seed) for t in b.column("text").to_pylist()]
+            raw = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64))
+            if sets:
+                yield pa.record_batch([node, pa.array(raw, pa.binary())], ["node", "shingles"])
+                continue
+            fp, fp2 = (pa.array(np.array([majority(h) for h in x], np.uint64).view(np.int64)) for x in (hashes, [mix(h + _MORE) for h in hashes]))
+            yield pa.record_batch([b.column("doc_id"), fp, fp2, node], ["doc_id", "fp", "fp2", "node"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, fp2 long, node long")
+
+
+def similar_forest(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """As forest(), but a link needs `similarity` of the sets (sorted, distinct) besides `distance` of the fingerprints."""
+    size = np.array([len(x) for x in sets])
+    left, found = np.arange(len(sets)), []
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(fp[left] ^ fp[at]) + np.bitwise_count(fp2[left] ^ fp2[at]) <= distance
+            near &= np.minimum(size[left], size[at]) >= similarity * np.maximum(size[left], size[at])
+            for i in np.flatnonzero(near).tolist():
+                both = len(np.intersect1d(sets[at], sets[left[i]], assume_unique=True))
+                near[i] = both >= similarity * (size[at] + size[left[i]] - both)
+            got = left[near].tolist()
+            found += [(at, x) for x in got]
+            queue += got
+            left = left[~near]
+    return found
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of one group (node, fp, fp2, component) whose shingles have the similarity.
+
+    A group's nodes meet in tiles of two parts each, as in near_links(), so that every pair is met and no task holds a
+    large group; a tile gives a spanning forest of its true links.
+    """
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("parts"))
+    dealt = groups.join(sizes, "component").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "fp", "fp2").join(sets, "node").select("tile", "node", "fp", "fp2", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int, bytes]] = {}
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nodes = list(held)
+            fp, fp2 = (np.array([held[x][i] for x in nodes], np.int64).view(np.uint64) for i in (0, 1))
+            got = similar_forest([np.frombuffer(held[x][2], "<u8") for x in nodes], fp, fp2, distance, similarity)
+            if got:
+                yield pa.record_batch([pa.array([nodes[x[i]] for x in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for tile, node, fp, fp2, shingles in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if tile != now:
+                    yield from done()
+                    held, now = {}, tile
+                held[node] = (fp, fp2, shingles)
+        yield from done()
+
+    return dealt.repartition(partitions(groups.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) where texts link whose shingles' Jaccard similarity is about `similarity` or more.
+    """(doc_id, component_id) where texts link whose distinct shingles' Jaccard similarity is `similarity` or more.
 
-    So many bits differ at that similarity that 64 could not tell such texts from chance; 128 do. The distance allowed is
-    the expected one and a standard deviation more. Blocks of 16 bits (24 for very many fingerprints) from several orders
-    of the bits are the keys: pairs at the threshold share one with a chance of 0.99, closer ones for all but certain.
-    Nulls, copies and repeated rows as in near_dedup().
+    Candidates are within the expected distance at that similarity and three standard deviations more, of 128 bits; keys
+    of sampled 16-bit blocks, the same at every size, lead to them. Groups of candidates are then searched for links by
+    the exact similarity of their shingles, so nothing below it links. Shingles and sets are told apart by 64-bit hashes.
+    Nulls and repeated rows as in near_dedup(); copies are one node.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed, wide=True))
+    fps = materialize(shingle_sets(docs, id_col, text_col, shingle, seed, False))
+    distance = allowed_bits(similarity)
+    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "fp2")).alias("f")).where("least is not null")
+    nodes = materialize(nodes.select("node", "least", "f.fp", "f.fp2"))
+    near = connected_components(near_links(nodes, distance, sampled_keys(ORDERS, 16)))
+    groups = materialize(nodes.join(near, "node"))
+    asked = groups.select(F.col("least").alias("__asked")).distinct()
+    texts = docs.join(asked, F.col(id_col).cast("long") == F.col("__asked"), "left_semi")
+    sets = shingle_sets(texts, id_col, text_col, shingle, seed, True)
+    roots = connected_components(verified_links(groups.select("node", "fp", "fp2", "component"), sets, distance, similarity))
+    named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(named.join(first, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+
+
+def allowed_bits(similarity: float) -> int:
+    """The distance within which candidates lie: the expected one and three standard deviations more."""
     mean = expected_bits(similarity)
-    distance = int(mean + np.sqrt(mean * (1 - mean / 128)))
-    many = fps.count() >= MANY >> 3
-    return _grouped(docs, fps, distance, sampled_keys(52, 24) if many else sampled_keys(8, 16)).select("doc_id", "component_id")
+    return int(mean + 3 * np.sqrt(mean * (1 - mean / 128)))
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
