@@ -183,6 +183,16 @@ def test_similar_groups_verify_the_similarity(spark):
     assert linked[29] == linked[38] == linked[48] == 0 and min(linked[20], linked[25], linked[28]) >= 76
 
 
+def test_sampled_keys_reach_the_allowed_distance():
+    keys = simhash.sampled_keys(simhash.ORDERS, 16)
+    for similarity, least in ((0.8, 0.95), (0.85, 0.98)):
+        pairs = changed_pairs({0.8: 28, 0.85: 20}[similarity], 300, 9)
+        fps = [[np.array([simhash.majority(f(simhash.shingle_hashes(t, 5, 42))) for t in side], np.uint64) for f in (lambda h: h, lambda h: simhash.mix(h + simhash._MORE))] for side in zip(*pairs, strict=True)]
+        (a, a2), (b, b2) = fps
+        near = np.bitwise_count(a ^ b) + np.bitwise_count(a2 ^ b2) <= simhash.allowed_bits(0.8)
+        assert (near & (keys(a, a2) == keys(b, b2)).any(axis=1)).mean() >= least
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(55)] + [(100 + i, 101 + i) for i in range(40)] + [(5, None), (7, 7)]
