@@ -348,6 +348,17 @@ def test_mixing_meets_targets(spark):
     assert {g.rate for g in mixing.document_rates(df, none, 0.5).collect()} == {1.0} and mixing.resample(df, none, 0.5).count() == len(rows)
 
 
+def test_mixing_counts_repeated_rows_once_each(spark):
+    rows = [(1, " x1 x2\tx1 ", "x"), (2, "y1 y2 y3", "y"), (3, "x1", None), (4, "  ", None)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    more = spark.createDataFrame(rows + [rows[0]] * 4 + [(None, "y1 y2", None)] * 3 + [rows[3]], once.schema)
+    labelled = once.select("text", "domain")
+    want = {x.doc_id: x.posterior for x in mixing.document_rates(once, labelled, 1.0).collect()}
+    got = mixing.document_rates(more, labelled, 1.0).collect()
+    assert sorted((str(x.doc_id), x.n_tokens) for x in got) == sorted((str(i), len(t.split())) for i, t, _ in more.collect())
+    assert all(np.allclose(x.posterior, want[x.doc_id]) for x in got if x.doc_id is not None)
+
+
 def test_quality_on_held_out_rows(spark):
     r = random.Random(9)
     words = ["the", "of", "river", "stone", "garden", "walks", "slowly", "and", "house", "evening"]
