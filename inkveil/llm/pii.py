@@ -25,6 +25,8 @@ IPV4 = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[.\-]\d{4}(?!\w)"
 CARD = r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w|\.\d)"
 ANY = "|".join((EMAIL, IBAN, DATE, SSN, IPV4, PHONE, CARD))
+#: Characters of an account number by country (ISO 13616 registry), where a match can hold words or numbers that follow.
+IBAN_LENGTHS = dict(AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20)
 #: A text without either has none of the above, so that most texts meet one cheap test only.
 HINT = r"@|[0-9][ .\-/]?[0-9]"
 
@@ -71,9 +73,23 @@ def _mod97(text: str) -> str:
     return f"aggregate(sequence(1, length({text})), 0, (t, k) -> if({one} rlike '[0-9]', (t * 10 + cast({one} as int)) % 97, (t * 100 + ascii({one}) - 55) % 97))"
 
 
+def _first_valid(kept: str, least: int, part: str, valid: str, fresh: str, rest: str = "r") -> str:
+    """SQL for m with its longest valid part from the start replaced, or m itself if there is none.
+
+    A part ends where a group of characters `kept` ends, as numbers that follow a value match with it. valid and fresh
+    see the part as m; `rest` is what the remainder r becomes.
+    """
+    ends = f"substr(m, e, 1) rlike '{kept}' and (e = length(m) or not substr(m, e + 1, 1) rlike '{kept}')"
+    good = f"transform(array(named_struct('m', substr(m, 1, e), 'whole', e = length(m))), u -> {_let('u.m', 'm', _let(part, 'c', valid))})[0]"
+    cut = f"get(filter(sequence(length(m), {least}, -1), e -> if({ends}, {good}, false)), 0)"
+    done = f"concat({_let('substr(m, 1, e)', 'm', _let(part, 'c', fresh))}, {_let('substr(m, e + 1)', 'r', rest)})"
+    return _let(cut, "e", f"if(e is null, m, {done})")
+
+
 def _card(key: str) -> str:
-    fresh = _let(_permuted("card", "substr(d, 1, length(d) - 1)", key), "p", f"concat(p, (10 - {_luhn('p', 1)} % 10) % 10)")
-    return _let(_digits("m"), "d", f"if({_luhn('d', 0)} % 10 = 0 and d rlike '[1-9]', {_let(fresh, 'q', _laid_out('m', 'q'))}, m)")
+    fresh = _let(_permuted("card", "substr(c, 1, length(c) - 1)", key), "p", f"concat(p, (10 - {_luhn('p', 1)} % 10) % 10)")
+    valid = f"length(c) >= 13 and {_luhn('c', 0)} % 10 = 0 and c rlike '[1-9]'"
+    return _first_valid("[0-9]", 13, _digits("m"), valid, _let(fresh, "q", _laid_out("m", "q")))
 
 
 def _phone(key: str) -> str:
@@ -109,9 +125,12 @@ def _date(key: str) -> str:
 
 def _iban(key: str) -> str:
     """The country and any letters stay; the account's digits are permuted and the two check digits computed anew."""
-    valid = f"{_mod97('concat(substr(c, 5), substr(c, 1, 4))')} = 1"
+    own = "case substr(c, 1, 2) " + " ".join(f"when '{k}' then {n}" for k, n in IBAN_LENGTHS.items()) + " else length(c) end"
+    valid = f"(u.whole or length(c) = {own}) and {_mod97('concat(substr(c, 5), substr(c, 1, 4))')} = 1"
     fresh = _let(_digits("substr(c, 5)"), "d", _let(_permuted("iban", "d", key), "q", _let(_laid_out("substr(c, 5)", "q"), "b", f"concat(lpad(cast(98 - {_mod97('concat(b, substr(c, 1, 2), 0, 0)')} as string), 2, '0'), {_digits('b')})")))
-    return _let("replace(m, ' ', '')", "c", f"if({valid}, {_let(fresh, 'q', _laid_out('m', 'q'))}, m)")
+    # the remainder can be a card
+    rest = f"if(ltrim(r) rlike {_whole(CARD)}, concat(' ', {_let('ltrim(r)', 'm', _card(key))}), r)"
+    return _first_valid("[A-Z0-9]", 12, "replace(m, ' ', '')", valid, _let(fresh, "q", _laid_out("m", "q")), rest)
 
 
 def _email(key: str) -> str:

@@ -324,6 +324,19 @@ def test_pii_is_a_permutation(spark):
         assert len(set(got)) == len(values) and set(n) <= {0, 1} and sum(n) > 0.98 * len(values)
 
 
+def test_pii_values_followed_by_numbers(spark):
+    texts = ["4111 1111 1111 1111 05/27", "4111111111111111 12 items", "4111-1111-1111-1111 7", "BE68 5390 0754 7034 2024", "BE68539007547034 2024 12 PAID", "BE68 5390 0754 7034 4111 1111 1111 1111", "4111 1111 1111 1112 05/27", "BE68 5390 0754 7035 2024"]
+    got, n = pseudonyms(spark, texts)
+    assert n == [1] * 6 + [0, 0] and got[6:] == texts[6:]
+    for text, rest in zip(got[:3], (" 05/27", " 12 items", " 7"), strict=True):
+        card = re.sub("[^0-9]", "", text.removesuffix(rest))
+        assert text.endswith(rest) and len(card) == 16 and luhn(card) % 10 == 0 and "1111" not in text
+    for text, rest in zip(got[3:5], (" 2024", " 2024 12 PAID"), strict=True):
+        account = text.removesuffix(rest).replace(" ", "")
+        assert text.endswith(rest) and len(account) == 16 and int(account[4:] + "1114" + account[2:4]) % 97 == 1 and account != "BE68539007547034"
+    assert "1111 1111" not in got[5] and "5390 0754" not in got[5]
+
+
 # --- mixture and quality
 
 
