@@ -2,12 +2,13 @@
 
 In SQL expressions alone. A naive Bayes classifier over hashed words learns domains from a labelled table and gives each
 document a posterior p over them. Rates r minimise sum_k (S_k - T_k)^2 / N_k, where S_k = sum_d n_d r_d p_dk is domain k's
-expected tokens, N_k its tokens at rate one and T_k its target, over least <= r <= most, by projected gradient steps.
+expected tokens, N_k its tokens at rate one and T_k its target, over least <= r (<= most, if given), by projected gradient steps.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ LABELLED = 20_000
 #: A posterior counts the evidence of so many words at most, spread over the whole text, so that it stays soft.
 EVIDENCE = 12.0
 
+#: Gradient steps within one expression; then the rates are written, and further steps start from them.
+STEPS = 24
+
 _WORDS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -81,22 +85,23 @@ def joined(docs: DataFrame, members: DataFrame, priors: list[float]) -> DataFram
     return out.withColumn("__mix_n", F.coalesce("__mix_n", F.lit(0))).withColumn("__mix_p", F.coalesce("__mix_p", F.array(*[F.lit(math.exp(x)) for x in priors])))
 
 
-def rate_column(steps: list[list[float]], least: float, most: float, p_col: str = "__mix_p") -> Column:
-    """A row's rate after the given gradient steps, each projected to [least, most]; starts from one."""
-    rate = F.lit(min(max(1.0, least), most))
+def rate_column(steps: list[list[float]], least: float, most: float, start: Column, p_col: str = "__mix_p") -> Column:
+    """A row's rate after the given gradient steps from `start`, each projected to [least, most]."""
+    rate = start
     for step in steps:
         move = sum((F.col(p_col)[k] * F.lit(c) for k, c in enumerate(step)), F.lit(0.0))
         rate = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), rate - move))
     return rate
 
 
-def fit_rates(members: DataFrame, domains: int, targets: list[float] | float, least: float = 0.0, most: float = 8.0, keep_all: bool = False, rounds: int = 24, tolerance: float = 1e-4) -> tuple[list[list[float]], dict]:
-    """Gradient steps for rate_column(), from (__mix_n, __mix_p), and a report of N, T and S by domain.
+def fit_rates(members: DataFrame, domains: int, targets: list[float] | float, least: float = 0.0, most: float = math.inf, keep_all: bool = False, rounds: int = 240, tolerance: float = 1e-4) -> tuple[DataFrame, dict]:
+    """members (with __mix_n, __mix_p) with their rate __mix_r, and a report of N, T and S by domain.
 
     targets: weights by domain, or an exponent a for weights in proportion to N_k ** a. Totals sum to the tokens at rate
     one, or with keep_all to the least total at which no target is below what its domain has. With weights 1 / N_k the
     gradient's Lipschitz constant in the token-weighted metric is one (the domains' overlap matrix is row-stochastic), so
-    the step size is one. Each round is one aggregation of `domains` sums; nothing else reaches the driver.
+    the step size is one. Each round is one aggregation of `domains` sums; nothing else reaches the driver. Targets that are
+    not reached within the tolerance (posteriors so soft that no rates reach them, `most`, or `rounds`) raise a warning.
     """
     def sums(rate: Column) -> list[float]:
         row = members.agg(*[F.sum(F.col("__mix_n") * rate * F.col("__mix_p")[k]).alias(f"s{k}") for k in range(domains)]).first()
@@ -105,43 +110,48 @@ def fit_rates(members: DataFrame, domains: int, targets: list[float] | float, le
     base = sums(F.lit(1.0))
     weight = [x**targets if x > 0 else 0.0 for x in base] if isinstance(targets, (int, float)) else [w if x > 0 else 0.0 for w, x in zip(targets, base, strict=True)]
     if not sum(weight):
-        return [], {"base": base, "target": base, "reached": base, "rounds": 0}
+        return members.withColumn("__mix_r", F.lit(1.0)), {"base": base, "target": base, "reached": base, "rounds": 0}
     total = max((x / w for x, w in zip(base, weight, strict=True) if w), default=0.0) if keep_all else sum(base) / sum(weight)
     target = [w * total for w in weight]
-    steps: list[list[float]] = []
-    reached = sums(rate_column(steps, least, most))
-    while len(steps) < rounds and max(abs(s - t) for s, t in zip(reached, target, strict=True)) > tolerance * sum(target):
+    start, steps, done = F.lit(min(max(1.0, least), most)), [], 0
+    reached = sums(start)
+    while done < rounds and max(abs(s - t) for s, t in zip(reached, target, strict=True)) > tolerance * sum(target):
+        if len(steps) == STEPS:
+            members = materialize(members.withColumn("__mix_r", rate_column(steps, least, most, start)))
+            start, steps = F.col("__mix_r"), []
         steps.append([(s - t) / n if n > 0 else 0.0 for s, t, n in zip(reached, target, base, strict=True)])
-        before, reached = reached, sums(rate_column(steps, least, most))
-        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 0.1 * tolerance * sum(target):
+        before, reached, done = reached, sums(rate_column(steps, least, most, start)), done + 1
+        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 1e-3 * tolerance * sum(target):
             break
-    return steps, {"base": base, "target": target, "reached": reached, "rounds": len(steps)}
+    if max(abs(s - t) for s, t in zip(reached, target, strict=True)) > tolerance * sum(target):
+        warnings.warn(f"mixing: targets missed after {done} rounds; tokens by domain wanted {target}, reached {reached}", RuntimeWarning, stacklevel=2)
+    return members.withColumn("__mix_r", rate_column(steps, least, most, start)), {"base": base, "target": target, "reached": reached, "rounds": done}
 
 
-def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, least: float = 0.0, most: float = 8.0) -> DataFrame:
+def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, least: float = 0.0, most: float = math.inf) -> DataFrame:
     """doc_id, n_tokens, domain (the likeliest), posterior, rate of every row of docs (doc_id, text).
 
     labelled: (text, domain). targets: weights by domain (one that is missing has none), or an exponent. Null and empty
     texts have no tokens and the priors as posterior; null ids and repeated rows are rated like others. Without labelled
-    rows every rate is one. Posteriors are written to the shared folder once; the rounds then read only them.
+    rows every rate is one. A missed target is told by a warning. Posteriors are written to the shared folder once; the rounds then read only them.
     """
     model = train(labelled)
     rows = keyed(docs)
     if model is None:
-        model, steps = {"domains": [""], "logs": [[0.0] * BUCKETS], "priors": [0.0]}, []
-        members = materialize(joined(rows, memberships(docs, model), model["priors"]))
+        model = {"domains": [""], "logs": [[0.0] * BUCKETS], "priors": [0.0]}
+        members = materialize(joined(rows, memberships(docs, model), model["priors"])).withColumn("__mix_r", F.lit(min(max(1.0, least), most)))
     else:
         members = materialize(joined(rows, memberships(docs, model), model["priors"]))
-        steps, _ = fit_rates(members, len(model["domains"]), wanted(targets, model["domains"]), least, most)
+        members, _ = fit_rates(members, len(model["domains"]), wanted(targets, model["domains"]), least, most)
     likeliest = F.array(*[F.lit(k) for k in model["domains"]])[(F.array_position("__mix_p", F.array_max("__mix_p")) - 1).cast("int")]
-    return members.select(F.col("__mix_id").alias("doc_id"), F.col("__mix_n").alias("n_tokens"), F.nullif(likeliest, F.lit("")).alias("domain"), F.col("__mix_p").alias("posterior"), rate_column(steps, least, most).alias("rate"))
+    return members.select(F.col("__mix_id").alias("doc_id"), F.col("__mix_n").alias("n_tokens"), F.nullif(likeliest, F.lit("")).alias("domain"), F.col("__mix_p").alias("posterior"), F.col("__mix_r").alias("rate"))
 
 
 def wanted(targets: dict[str, float] | float, domains: list[str]) -> list[float] | float:
     return [float(targets.get(k, 0.0)) for k in domains] if isinstance(targets, dict) else float(targets)
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, id_col: str = "doc_id", most: float = 8.0) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | float, id_col: str = "doc_id", most: float = math.inf) -> DataFrame:
     """docs with each row as often as its rate says, once at least: thin domains are repeated, no document is lost.
 
     The fraction of a rate is rounded up or down by a hash of the id, so that expected totals hold and a rerun gives the
@@ -151,9 +161,9 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | f
     if model is None:
         return docs
     members = materialize(joined(keyed(docs, id_col), memberships(docs, model, id_col), model["priors"]))
-    steps, _ = fit_rates(members, len(model["domains"]), wanted(targets, model["domains"]), 1.0, most, keep_all=True)
+    members, _ = fit_rates(members, len(model["domains"]), wanted(targets, model["domains"]), 1.0, most, keep_all=True)
     dice = F.pmod(F.xxhash64(F.coalesce("__mix_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.greatest(F.lit(1), F.floor(rate_column(steps, 1.0, most) + dice).cast("int"))
+    times = F.greatest(F.lit(1), F.floor(F.col("__mix_r") + dice).cast("int"))
     often = members.dropDuplicates(["__mix_id", "__mix_h"]).select(F.col("__mix_id").alias("__mix_j"), F.col("__mix_h").alias("__mix_g"), times.alias("__mix_c"))
     rows = docs.withColumn("__mix_id", F.col(id_col).cast("long")).withColumn("__mix_h", F.xxhash64(F.col("text").cast("string")))
     matched = rows.join(often, F.col("__mix_id").eqNullSafe(F.col("__mix_j")) & (F.col("__mix_h") == F.col("__mix_g")))

@@ -361,6 +361,17 @@ def test_mixing_meets_targets(spark):
     assert {g.rate for g in mixing.document_rates(df, none, 0.5).collect()} == {1.0} and mixing.resample(df, none, 0.5).count() == len(rows)
 
 
+def test_mixing_reaches_targets_of_thin_domains(spark):
+    rows = [(i, " ".join(f"{k}{j % 7}" for j in range(i, i + 20)), k) for i, k in enumerate(["x"] * 150 + ["y"] * 150 + ["z"] * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    labelled = df.select("text", "domain")
+    got = mixing.document_rates(df, labelled, {"x": 1.0, "y": 1.0, "z": 1.0}).collect()
+    tokens = [sum(g.n_tokens * g.rate * g.posterior[k] for g in got) for k in range(3)]
+    assert np.allclose(tokens, sum(tokens) / 3, rtol=2e-3) and max(g.rate for g in got) > 8
+    with pytest.warns(RuntimeWarning, match="targets missed"):
+        mixing.document_rates(df, labelled, {"x": 1.0, "y": 1.0, "z": 1.0}, most=8.0)
+
+
 def test_mixing_counts_repeated_rows_once_each(spark):
     rows = [(1, " x1 x2\tx1 ", "x"), (2, "y1 y2 y3", "y"), (3, "x1", None), (4, "  ", None)]
     once = spark.createDataFrame(rows, "doc_id long, text string, domain string")
