@@ -308,7 +308,8 @@ def allowed_bits(similarity: float) -> int:
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents whose group has a smaller id; rows with a null id stay. Columns are those of docs.
+    """docs without the documents whose group has a smaller id; rows with a null id, and all that repeat the
+    smallest one, stay. Columns are those of docs.
 
     Of groups only the ids that go are joined; texts move only if those ids are too many to broadcast.
     """
