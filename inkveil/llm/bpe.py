@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,12 @@ from inkveil.llm.common import as_long, slices, small_batches, spread
 NONE = np.int32(2**31 - 1)
 #: Pieces beyond this many bytes are merged with a heap, whose time is not quadratic in the length.
 LONG = 1024
-#: Stretches of text between single spaces that are kept with their ids; beyond this memory starts afresh.
-KEPT = 700_000
+#: Stretches of text between single spaces that are kept with their ids; beyond this the rare ones are forgotten.
+KEPT = 1_200_000
+#: Text bytes that are encoded together.
+TEXT_BYTES = 4 << 20
+#: The pattern that the shortcuts of ByteBPE.encoded() are right for; with any other it finds the pieces of whole texts.
+_SHORTCUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What a word may end in and still be two pieces for certain: the word, and a run of these.
 _TAIL = ".,;:!?)]}\"'$%&*#|"
 #: A space between two other characters: no piece begins before such a space and ends after it.
@@ -36,7 +40,9 @@ class ByteBPE:
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.split = regex.compile(pattern).findall
+        self.shortcuts = pattern == _SHORTCUTS
+        found = regex.compile(pattern).finditer
+        self.split = regex.compile(pattern).findall if self.shortcuts else lambda text: [m.group() for m in found(text) if m.group()]
         self.vocab = {i: t for t, i in self.ranks.items()}
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         size = max(self.vocab) + 1
@@ -49,7 +55,8 @@ class ByteBPE:
         self._build(np.array([(a << 32) | b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int32))
         self.decimal = [str(i) for i in range(size)]
         self.known: dict[str, bytes] = {}  # ids (int32, little-endian) of pieces that are not a plain word
-        self.units: dict[str, bytes] = {}  # of stretches that a space precedes
+        self.units: dict[str, int] = {}  # stretches that a space precedes, in the order of their ids in flat
+        self.flat, self.begin, self.asked = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -153,9 +160,9 @@ class ByteBPE:
             if (whole := self.ranks.get(raw)) is not None:
                 out[i] = whole.to_bytes(4, "little")
             else:
-                widths.setdefault((len(raw) - 1).bit_length(), []).append(i)
-        for bits, some in sorted(widths.items()):
-            width = 1 << bits
+                n = len(raw)
+                widths.setdefault(n + (n & 1) if n <= 24 else 1 << (n - 1).bit_length(), []).append(i)
+        for width, some in sorted(widths.items()):
             step = max(1, (1 << 20) // width)
             for at in range(0, len(some), step):
                 part = some[at : at + step]
@@ -173,50 +180,117 @@ class ByteBPE:
         self.known.update(zip(new, self.merged([p.encode() for p in new]), strict=True))
         return [b"".join([self.known[p] for p in pieces]) for pieces in found]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode stretches that a space precedes. A word of letters is one piece with its space; a word and a run of
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of stretches that a space precedes. A word of letters is one piece with its space; a word and a run of
         marks are two; the pattern finds the pieces of all others."""
-        units = self.units
-        words, ended, odd = set(), [], []
-        for u in new:
+        plain, ended, odd = {}, [], []
+        for i, u in enumerate(words):
             if u.isalpha():
-                words.add(u)
+                plain[u] = b""
             elif (w := u.rstrip(_TAIL)).isalpha():
-                ended.append((u, w, u[len(w) :]))
-                if w not in units:
-                    words.add(w)
+                ended.append((i, w, u[len(w) :]))
+                plain[w] = b""
             else:
-                odd.append(u)
-        plain = list(words)
-        units.update(zip(plain, self.merged([b" " + w.encode() for w in plain]), strict=True))
+                odd.append(i)
+        plain = dict(zip(plain, self.merged([b" " + w.encode() for w in plain]), strict=True))
         marks = list({m for _, _, m in ended})
         of_mark = dict(zip(marks, self._joined(marks), strict=True))
-        units.update((u, units[w] + of_mark[m]) for u, w, m in ended)
-        units.update(zip(odd, self._joined([" " + u for u in odd]), strict=True))
+        out = [plain.get(u, b"") for u in words]
+        for i, w, m in ended:
+            out[i] = plain[w] + of_mark[m]
+        for i, ids in zip(odd, self._joined([" " + words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
 
-    def stretches(self, texts: list[str | None]) -> list[list[bytes]]:
-        """For each text the ids of its stretches in order. Texts are cut at single spaces, where pieces end in any case,
-        so that what is common is encoded once; the pattern and the merges see only stretches not known yet."""
-        cuts = [t.split(" ") if t else [] for t in texts]
+    def _forget(self) -> None:
+        """Keep the stretches that several batches asked for, half of KEPT at most: what came once seldom comes again."""
+        asked = self.asked[: len(self.units)]
+        bar = max(2, int(np.partition(asked, -(KEPT // 2))[-(KEPT // 2)]) + 1)
+        keep = asked >= bar
+        size = np.diff(self.begin[: len(asked) + 1])
+        self.flat = self.flat[spread(self.begin[:-1][: len(asked)][keep], size[keep])[1]]
+        self.begin = np.concatenate(([0], np.cumsum(size[keep])))
+        self.units = {u: i for i, u in enumerate(u for u, k in zip(self.units, keep.tolist(), strict=True) if k)}
+        self.asked = asked[keep] // 2
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Where the ids of each of these distinct stretches begin and end among self.flat: the index into self.begin."""
         if len(self.units) > KEPT:
-            self.units.clear()
-        new = set(chain.from_iterable(c[1:] for c in cuts)).difference(self.units)
-        loose = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}  # next to a space that pieces may cross
-        ends: dict[int, str] = {}
-        for i, c in enumerate(cuts):
-            if len(c) > 1 and (not c[0] or c[0][-1].isspace() or loose and not loose.isdisjoint(c)):
-                cuts[i] = c = _CUT(texts[i])
-                if len(c) > 1 and c[-1][-1].isspace():
-                    ends[i] = " " + c.pop()
-                new.update(c[1:])
-        self._learn(new.difference(loose, self.units) if ends or loose else new)
-        heads = iter(self._joined([c[0] for c in cuts if c]))
-        last = dict(zip(ends, self._joined(list(ends.values())), strict=True))
+            self._forget()
         units = self.units
-        return [[next(heads), *[units[u] for u in c[1:]], last.get(i, b"")] if c else [] for i, c in enumerate(cuts)]
+        out = np.fromiter(map(units.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            made = self._learn([words[i] for i in new.tolist()])
+            out[new] = np.arange(len(units), len(units) + len(new))
+            units.update(zip([words[i] for i in new.tolist()], out[new].tolist(), strict=True))
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(made), "<i4")))
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(size)))
+            self.asked = np.concatenate((self.asked, np.zeros(len(new), np.int32)))
+        self.asked[out] += 1
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(got), "<i4") for got in self.stretches(texts)]
+    def _loose(self, text: str) -> bytes:
+        """Ids of a text with spaces beside other white space, which pieces may cross: it is cut elsewhere only."""
+        cuts = _CUT(text)
+        last = " " + cuts.pop() if len(cuts) > 1 and cuts[-1][-1].isspace() else ""
+        slots = self._slots(list(dict.fromkeys(cuts[1:])))
+        at = dict(zip(dict.fromkeys(cuts[1:]), slots.tolist(), strict=True))
+        head, tail = self._joined([cuts[0], last])
+        flat, begin = self.flat, self.begin
+        return b"".join([head, *[flat[begin[at[u]] : begin[at[u] + 1]].tobytes() for u in cuts[1:]], tail])
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets of each text's) of a string column; a null is empty.
+
+        Texts are cut at single spaces, where pieces end in any case, so that what is common is encoded once; the pattern
+        and the merges see only stretches not known yet. Cutting, telling equal stretches and joining ids work on columns.
+        """
+        n = len(texts)
+        if not self.shortcuts:
+            made = self._joined([x or "" for x in texts.to_pylist()])
+            return np.frombuffer(b"".join(made), "<i4"), np.cumsum([0, *(len(x) // 4 for x in made)])
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        count = lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(count) - count
+        row = np.repeat(np.arange(n), count)
+        size = pc.binary_length(coded.dictionary).to_numpy()
+        begins, ends = ((pc.binary_length(trim(coded.dictionary)).to_numpy() < size) | (size == 0) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        loose = (begins | ends)[codes]  # next to a space that pieces may cross
+        loose[first] = ends[codes[first]]
+        whole = (np.bincount(row[loose], minlength=n) == 0) | (count == 1)
+        inner = whole[row]
+        inner[first] = False
+        met = np.zeros(len(words), bool)
+        met[codes[inner]] = True
+        slot = np.zeros(len(words), np.int64)
+        slot[met] = self._slots(words[met].tolist())
+        slot = slot[codes[inner]]
+        flat, begin = self.flat, self.begin
+        at = np.flatnonzero(whole)
+        heads = [b""] * n
+        for i, ids in zip(at.tolist(), self._joined(words[codes[first[at]]].tolist()), strict=True):
+            heads[i] = ids
+        for i in np.flatnonzero(~whole).tolist():
+            heads[i] = self._loose(texts[i].as_py())
+        size = np.zeros(len(codes), np.int64)
+        size[inner] = begin[slot + 1] - begin[slot]
+        size[first] = np.fromiter(map(len, heads), np.int64, n) // 4
+        place = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        is_head = np.zeros(len(codes), bool)
+        is_head[first] = True
+        from_head = np.repeat(is_head, size)
+        out[from_head] = np.frombuffer(b"".join(heads), "<i4")
+        out[~from_head] = flat[spread(begin[slot], size[inner])[1]]
+        return out, np.append(place[first], len(out)) if n else np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        ids, at = self.encoded(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        return np.split(ids, at[1:-1]) if len(texts) else []
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
@@ -226,11 +300,8 @@ class ByteBPE:
 
 @lru_cache(maxsize=2)
 def load(rank_file: str, pattern: str) -> ByteBPE:
-    """One encoder for each Python worker and vocabulary. Its tables last, so the collector need not walk them again."""
-    bpe = ByteBPE(rank_file, pattern)
-    gc.freeze()
-    gc.set_threshold(200_000, 50, 100)
-    return bpe
+    """One encoder for each Python worker and vocabulary."""
+    return ByteBPE(rank_file, pattern)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +313,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_file, pattern)
-        for b in slices(batches, "text"):
-            yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text").to_pylist()), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for b in slices(batches, "text", TEXT_BYTES):
+            yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text")), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -270,9 +341,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_file, pattern)
         sha = hashlib.sha256
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TEXT_BYTES):
             counts, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode(b.column("text").to_pylist()):
+            for ids in bpe.encode(b.column("text")):
                 counts.append(len(ids))
                 ids_sha.append(sha(" ".join([bpe.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
                 text_sha.append(sha(bpe.decode(ids)).hexdigest())

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.bpe import load
+from inkveil.llm.bpe import TEXT_BYTES, load
 from inkveil.llm.common import as_long, slices, small_batches, spread
 
 #: Tokens that are packed together. A task holds one such shard at a time, however large its partition is.
@@ -112,8 +112,8 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = 2048, pa
             columns = [pa.array(np.full(len(rows), shard)), pa.array(np.arange(len(rows)), pa.int32()), _rows_of(ids, capacity), _rows_of(positions, capacity), listed(cut_at, cuts, pa.int32()), listed(item_at, [x[0] for x in items], pa.int64()), listed(item_at, [x[1] for x in items], pa.int64()), pa.array(np.add.reduceat(size, first), pa.int32())]
             return pa.record_batch(columns, [x.split()[0] for x in PACKED.split(", ")])
 
-        for b in slices(batches, "text"):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text").to_pylist()), strict=True):
+        for b in slices(batches, "text", TEXT_BYTES):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), bpe.encode(b.column("text")), strict=True):
                 held += [(doc, at, ids[at : at + capacity]) for at in range(0, len(ids), capacity)]
                 tokens += len(ids)
                 if tokens >= shard_tokens:

@@ -58,6 +58,25 @@ def test_bpe_random_pieces():
     assert [x.tolist() for x in own.encode(texts)] == [want.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_with_another_pattern():
+    tiktoken = pytest.importorskip("tiktoken")
+    path, _ = tokenizer()
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    pattern = r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]+"
+    want, own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.ByteBPE(path, pattern)
+    texts = [t for t in TEXTS if t is not None] + ["one, two  three4567 it's"]
+    assert [x.tolist() for x in own.encode(texts)] == [want.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_forgets_rare_stretches(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    random_, want, own = random.Random(4), encoder(), bpe.ByteBPE(*tokenizer())
+    texts = [" ".join("".join(random_.choices("abcé.", k=random_.randint(1, 3))) for _ in range(40)) for _ in range(30)]
+    for t in texts:
+        assert [x.tolist() for x in own.encode([t, None, "fixed words"])] == [want.encode_ordinary(t), [], want.encode_ordinary("fixed words")]
+
+
 def test_packing_is_lossless(spark):
     rows, df = docs(spark)
     want, capacity = encoder(), 64
