@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions import folding
+
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -35,16 +37,11 @@ def changes_length(text: Column) -> Column:
     return text.rlike("[\\u00DF\\u1E9E\\u0130\\u0149\\u01F0\\uFB00-\\uFB06\\u0300-\\u036F]")
 
 
-def fold_exactly(text: str) -> tuple[str, list[int]]:
-    """The folded text and, for each of its characters, the original's index. For the texts of changes_length()."""
-    out, origin = [], []
-    for i, c in enumerate(text):
-        for x in unicodedata.normalize("NFD", c):
-            if unicodedata.category(x) != "Mn":
-                for y in x.casefold().replace("đ", "d"):
-                    out.append(y)
-                    origin.append(i)
-    return "".join(out), origin
+def exactly_folded(text: Column) -> Column:
+    """The folded text where folding need not be one to one; offsets are those of functions.folding. Only the texts that
+    changes_length() tells leave the JVM."""
+    run = F.pandas_udf(lambda s: s.map(folding.fold, na_action="ignore"), "string")
+    return F.coalesce(run(F.when(changes_length(text), text)), fold(text))
 
 
 def spans(text: Column, pattern: str | Column) -> Column:

@@ -1,145 +1,21 @@
-"""Value shapes and labelled fields: parts in, hits out. No hit carries text.
-
-All rules of a part are evaluated within its row, so detection needs no shuffle; seq keeps the rules' order, which decides
-ties later.
-"""
+"""Value shapes as Catalyst expressions: what needs no context stays in the JVM. All other rules are in operators.scan."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
-from inkveil.functions.text import any_of, cut, fold, spans
-
-HIT = "struct<entity_type:string,start:int,end:int,confidence:double,detector_id:string,signals:array<string>>"
-HITS = f"array<{HIT}>"
-
-
-def none() -> Column:
-    return F.array().cast(HITS)
-
-
-def hit(entity: str | Column, start: Column, end: Column, score: float, detector: str | None = None, signals: tuple[str, ...] = ()) -> Column:
-    names = F.array(*[F.lit(s) for s in signals]).cast("array<string>")
-    name = F.lit(entity) if isinstance(entity, str) else entity
-    return F.struct(name.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(score).alias("confidence"), (F.lit(detector) if detector else name).alias("detector_id"), names.alias("signals"))
-
-
-def hits_at(found: Column, entity: str, score: float) -> Column:
-    return F.transform(found, lambda s: hit(entity, s["start"], s["end"], score))
-
-
-def shapes(text: Column) -> list[Column]:
-    """E-mail addresses, telephone numbers and citizen numbers anywhere."""
-    rules = (("email", c.EMAIL, c.SCORE_HIGH), ("phone", c.PHONE, c.SCORE_HIGH), ("national_id", c.CITIZEN_ID, c.SCORE_VALUE))
-    return [hits_at(spans(text, pattern), entity, score) for entity, pattern, score in rules]
-
-
-def label_before(folded: Column, start: Column, labels: tuple[str, ...]) -> Column:
-    """True if a label stands, as a whole word, in the window of folded characters before start; it may cross lines."""
-    window = F.substring(folded, F.greatest(F.lit(1), start - c.CONTEXT_WINDOW + 1), F.least(F.lit(c.CONTEXT_WINDOW), start))
-    return window.rlike(rf"(?U)(?<!\w)(?:{any_of(labels)})(?!\w)")
-
-
-def announced(found: Column, folded: Column, labels: tuple[str, ...]) -> Column:
-    return F.filter(found, lambda s: label_before(folded, s["start"], labels))
-
-
-def after_label(text: Column, folded: Column) -> list[Column]:
-    """Old identity numbers, passports, and salaries that a label announces."""
-    rules = (("national_id", c.OLD_ID, c.SCORE_CONTEXT, c.ID_LABELS), ("passport", c.PASSPORT, c.SCORE_CONTEXT, c.PASSPORT_LABELS))
-    return [hits_at(announced(spans(text, pattern), folded, labels), entity, score) for entity, pattern, score, labels in rules]
-
-
-def salaries(text: Column, folded: Column) -> Column:
-    return hits_at(announced(spans(text, c.SALARY), folded, c.SALARY_LABELS), "salary", c.SCORE_VALUE)
-
-
-def ages(text: Column) -> list[Column]:
-    """The number of years beside the word for age."""
-    after = F.transform(spans(text, c.AGE_AFTER), lambda s: hit("date_of_birth", s["end"] - F.length(F.regexp_extract(cut(text, s["start"], s["end"]), r"(?U)\d{1,2}$", 0)), s["end"], c.SCORE_VALUE))
-    before = F.transform(spans(text, c.AGE_BEFORE), lambda s: hit("date_of_birth", s["start"], s["start"] + F.length(F.regexp_extract(cut(text, s["start"], s["end"]), r"(?U)^\d{1,2}", 0)), c.SCORE_VALUE))
-    return [after, before]
-
-
-def value_region(text: Column, label_end: Column) -> Column:
-    """struct<start,end> of the value after a label; end <= start if there is none.
-
-    Separators are skipped; the value ends at the line, right after a replacement label that begins it, before one that
-    follows, before a bar, or before another field's label; blanks, commas and semicolons at its end do not count.
-    """
-    start = label_end + F.length(F.regexp_extract(F.substring(text, label_end + 1, F.length(text)), r"^[ \t:\-]*", 0))
-    line = F.regexp_extract(F.substring(text, start + 1, F.length(text)), r"^[^\n]*", 0)
-    known = "|".join(re.escape(x) for x in c.REPLACEMENTS)
-    label = F.regexp_extract(line, f"^(?:{known})", 0)
-    head = F.regexp_extract(F.regexp_replace(line, f"(?s)(?:{known}).*$", ""), r"^[^|]*", 0)
-    folded = fold(head)
-    stops = F.array(*[F.lit(rf"(?U)(?:^|\s)(?:{re.escape(x)})\s*[:\-]") for x in c.STOP_LABELS])
-    first = F.array_min(F.filter(F.transform(stops, lambda p: F.regexp_instr(folded, p)), lambda at: at > 1))
-    # Only a text with a separator can hold another label; the many patterns meet no other.
-    stopped = F.when(folded.rlike(r"[:\-]") & first.isNotNull(), F.substring(head, F.lit(1), first - 1)).otherwise(head)
-    size = F.when(~line.rlike(r"(?U)\S"), 0).when(label != "", F.length(label)).otherwise(F.length(F.regexp_replace(stopped, r"[ \t,;]+$", "")))
-    return F.struct(start.alias("start"), (start + size).alias("end"))
-
-
-def _inside(region: Column, found: Column, entity: str) -> Column:
-    return F.transform(found, lambda s: hit(entity, region["start"] + s["start"], region["start"] + s["end"], c.SCORE_VALUE))
-
-
-def birth_value(text: Column, folded: Column, region: Column) -> Column:
-    """All dates in the value, else all ages, else nothing beside a replacement label, else a leading year, else all of it."""
-    value, plain = cut(text, region["start"], region["end"]), cut(folded, region["start"], region["end"])
-    dates = _inside(region, spans(plain, c.DATE), "date_of_birth")
-    old = _inside(region, spans(plain, c.AGE_IN_VALUE), "date_of_birth")
-    year = F.regexp_extract(plain, c.LEADING_YEAR, 0)
-    year_hit = hit("date_of_birth", region["start"] + F.length(year) - 4, region["start"] + F.length(year), c.SCORE_VALUE)
-    whole = hit("date_of_birth", region["start"], region["end"], c.SCORE_VALUE)
-    covered = value.rlike("|".join(re.escape(x) for x in c.REPLACEMENTS))
-    return F.when(F.size(dates) > 0, dates).when(F.size(old) > 0, old).when(covered, none()).when(year != "", F.array(year_hit)).when(value.rlike(r"(?U)\S"), F.array(whole)).otherwise(none())
-
-
-def labelled(text: Column, folded: Column) -> list[Column]:
-    """Values after the labels of fields, label by label: some begin others, so one alternation would hide matches.
+from inkveil.functions.text import spans
 
-    The labels are an array of patterns, so the rules are one expression for each way to read a value; a pattern meets
-    only texts that hold its label.
-    """
-    out = []
-    for way in ("whole", "birth", "salary"):
-        rows = [(e, x, rf"(?U)(?<![\w\[]){re.escape(x)}(?!\w)\s*[:\-]?") for e, kind, labels in c.FIELD_LABELS if kind == way for x in labels]
-        table = F.array(*[F.struct(F.lit(e).alias("entity"), F.lit(x).alias("label"), F.lit(p).alias("pattern")) for e, x, p in rows])
-        present = F.filter(table, lambda r: folded.contains(r["label"]))
-        regions = F.flatten(F.transform(present, lambda r: F.transform(spans(folded, r["pattern"]), lambda s: F.struct(r["entity"].alias("entity"), value_region(text, s["end"]).alias("at")))))
-        regions = F.filter(regions, lambda r: r["at"]["end"] > r["at"]["start"])
-        if way == "whole":
-            hits = F.transform(regions, lambda r: hit(r["entity"], r["at"]["start"], r["at"]["end"], c.SCORE_HIGH))
-        elif way == "birth":
-            hits = F.flatten(F.transform(regions, lambda r: birth_value(text, folded, r["at"])))
-        else:
-            hits = F.flatten(F.transform(regions, lambda r: _inside(r["at"], spans(cut(text, r["at"]["start"], r["at"]["end"]), c.SALARY), "salary")))
-        out.append(hits)
-    return out
+SHAPES = (("email", c.EMAIL, c.SCORE_HIGH), ("phone", c.PHONE, c.SCORE_HIGH), ("national_id", c.CITIZEN_ID, c.SCORE_VALUE))
 
 
-RULES = ("shapes", "context", "labels", "ages", "salary")
+def shape_hits(parts: DataFrame, entities: tuple[str, ...] = ("email", "phone", "national_id")) -> DataFrame:
+    """document_id, part_seq, seq and the hit's columns of e-mail addresses, telephone and citizen numbers anywhere."""
+    made = [_hits(e, spans(F.col("text"), p), x) for e, p, x in SHAPES if e in entities]
+    return parts.select("document_id", "part_seq", F.posexplode(F.concat(*made)).alias("seq", "h")).select("document_id", "part_seq", "seq", "h.*")
 
 
-def detect(parts: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """document_id, part_seq, seq and the hit's columns, from parts (document_id, part_seq, text)."""
-    rows = parts.select("document_id", "part_seq", "text", fold(F.col("text")).alias("__folded"))
-    text, folded = F.col("text"), F.col("__folded")
-    made: list[Column] = []
-    if "shapes" in rules:
-        made += shapes(text)
-    if "context" in rules:
-        made += after_label(text, folded)
-    if "labels" in rules:
-        made += labelled(text, folded)
-    if "ages" in rules:
-        made += ages(text)
-    if "salary" in rules:
-        made.append(salaries(text, folded))
-    return rows.select("document_id", "part_seq", F.posexplode(F.concat(*[m.cast(HITS) for m in made])).alias("seq", "h")).select("document_id", "part_seq", "seq", "h.*")
+def _hits(entity: str, found: Column, score: float) -> Column:
+    return F.transform(found, lambda s: F.struct(F.lit(entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(score).alias("confidence"), F.lit(entity).alias("detector_id"), F.array().cast("array<string>").alias("signals")))

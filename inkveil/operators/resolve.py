@@ -61,17 +61,35 @@ def action(entity: Column, confidence: Column, mask_salary: bool = True) -> Colu
 
 def findings(resolved: DataFrame, mask_salary: bool = True) -> DataFrame:
     """Resolved hits that are not discarded, with action, label, requires_review and an id made of their place."""
-    out = resolved.withColumn("action", action(F.col("entity_type"), F.col("confidence"), mask_salary)).where("action <> 'discard'")
+    return described(resolved.withColumn("action", action(F.col("entity_type"), F.col("confidence"), mask_salary)).where("action <> 'discard'"))
+
+
+def suppressed(resolved: DataFrame) -> DataFrame:
+    """document_id, suppressed: resolved hits too weak to count."""
+    return resolved.groupBy("document_id").agg(F.count_if(F.col("confidence") < c.DISCARD_BELOW).alias("suppressed"))
+
+
+def described(out: DataFrame) -> DataFrame:
+    """Findings (with action) with label, requires_review and an id made of their place."""
     out = out.withColumn("replacement_label", label_of(F.col("entity_type"))).withColumn("requires_review", F.col("confidence") < c.REDACT_AT)
     return out.withColumn("finding_id", F.sha2(F.concat_ws("|", "document_id", "part_seq", "start", "end", "entity_type"), 256))
 
 
 def review_reasons(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """document_id, low_confidence, no_candidate_name of every document, those without any finding too."""
+    """document_id, low_confidence, no_candidate_name, ambiguous of every document, those without any finding too.
+
+    found may have a column `ambiguous`: that its place on the page is drawn over by another."""
     redacted = F.col("action").isin("redact", "redact_and_review")
-    flags = found.groupBy("document_id").agg(F.bool_or(redacted & F.col("requires_review")).alias("low_confidence"), F.bool_or(F.col("entity_type") == "candidate_name").alias("named"))
+    drawn = F.bool_or(redacted & F.coalesce("ambiguous", F.lit(False))) if "ambiguous" in found.columns else F.lit(False)
+    flags = found.groupBy("document_id").agg(F.bool_or(redacted & F.col("requires_review")).alias("low_confidence"), F.bool_or(F.col("entity_type") == "candidate_name").alias("named"), drawn.alias("ambiguous"))
     out = documents.select("document_id").join(flags, "document_id", "left")
-    return out.select("document_id", F.coalesce("low_confidence", F.lit(False)).alias("low_confidence"), (~F.coalesce("named", F.lit(False))).alias("no_candidate_name"))
+    return out.select("document_id", F.coalesce("low_confidence", F.lit(False)).alias("low_confidence"), (~F.coalesce("named", F.lit(False))).alias("no_candidate_name"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
+def ordered(resolved: DataFrame) -> DataFrame:
+    """Resolved hits with `position`, their place in the order of results: start, end, then the entities' order."""
+    by = Window.partitionBy(*PART).orderBy("start", "end", entity_number(F.col("entity_type"), 0))
+    return resolved.withColumn("position", F.row_number().over(by))
 
 
 def ranges(found: DataFrame) -> DataFrame:
@@ -82,10 +100,37 @@ def ranges(found: DataFrame) -> DataFrame:
     return out.drop("island").withColumn("replacement_label", label_of(F.col("entity_type")))
 
 
+def replaced(text: Column, cuts: Column) -> Column:
+    """text with the ranges of an array (start, end, replacement_label; disjoint, in order) replaced by their labels."""
+    last = F.struct(F.length(text).alias("start"), F.lit(0).alias("end"), F.lit("").alias("replacement_label"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda r: r["end"]))
+    pieces = F.zip_with(F.concat(cuts, F.array(last)), ends, lambda r, at: F.concat(F.substring(text, at + 1, r["start"] - at), r["replacement_label"]))
+    return F.array_join(pieces, "")
+
+
 def redact(parts: DataFrame, placed: DataFrame) -> DataFrame:
-    """parts with `redacted`: every range replaced by its label. Parts without a range keep their text."""
+    """parts with `redacted`: every range replaced by its label. Parts without a range keep their text. For ranges that
+    are rows of their own; plans.detection.judged() redacts within the document's row."""
     lists = placed.groupBy(*PART).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement_label"))).alias("__r"))
-    zero = F.struct(F.lit("").alias("o"), F.lit(0).alias("p"))
-    step = lambda s, r: F.struct(F.concat(s["o"], F.substring("text", s["p"] + 1, r["start"] - s["p"]), r["replacement_label"]).alias("o"), r["end"].alias("p"))
-    text = F.aggregate("__r", zero, step, lambda s: F.concat(s["o"], F.substring("text", s["p"] + 1, F.length("text"))))
-    return parts.join(lists, list(PART), "left").withColumn("redacted", F.coalesce(text, F.col("text"))).drop("__r")
+    text = F.when(F.col("__r").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("__r")))
+    return parts.join(lists, list(PART), "left").withColumn("redacted", text).drop("__r")
+
+
+def validated(selected: tuple[str, ...]) -> tuple[str, ...]:
+    """A selection of entities to redact, in their order; an error if it names an unknown one, one that is never handled,
+    or leaves out one that is mandatory."""
+    unknown = set(selected) - set(c.ENTITIES)
+    if unknown or set(selected) & set(c.UNHANDLED):
+        raise ValueError(f"cannot be redacted: {sorted(unknown | set(selected) & set(c.UNHANDLED))}")
+    missing = [e for e in c.ENTITIES if e not in (*c.UNHANDLED, *c.OPTIONAL, *selected)]
+    if missing:
+        raise ValueError(f"must be redacted: {missing}")
+    return tuple(e for e in c.ENTITIES if e in selected)
+
+
+def selection_errors(selections: DataFrame) -> DataFrame:
+    """selections (policy_id, entities) with `missing`, `refused` (arrays) and `valid`: validated() for a table."""
+    must = F.array(*[F.lit(e) for e in c.ENTITIES if e not in (*c.UNHANDLED, *c.OPTIONAL)])
+    may = F.array(*[F.lit(e) for e in c.ENTITIES if e not in c.UNHANDLED])
+    out = selections.withColumn("missing", F.array_except(must, "entities")).withColumn("refused", F.array_sort(F.array_except("entities", may)))
+    return out.withColumn("valid", (F.size("missing") == 0) & (F.size("refused") == 0))
\ No newline at end of file

@@ -1,104 +1,125 @@
-"""Headings, the sections they open, and what whole sections and contact lines reveal."""
+"""Headings, the sections they open, and what whole sections and contact lines reveal, within one part of text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from inkveil.functions import catalogue as c
-from inkveil.functions.text import any_of, fold, lines
+from inkveil.functions.folding import Folded, fold
+from inkveil.functions.text import any_of
+from inkveil.operators.fields import Hit
 
 _BULLET = r"[\s\-*•·\d.)]*"
 _TAIL = rf"(?:\s*(?:[/|&]|\band\b)\s*(?:{any_of(c.REFERENCE_HEADINGS + c.FAMILY_HEADINGS + c.OTHER_HEADINGS)}))*"
 KINDS = (("reference", c.REFERENCE_HEADINGS), ("family", c.FAMILY_HEADINGS), ("other", c.OTHER_HEADINGS))
+_WHOLE = tuple((kind, re.compile(rf"^{_BULLET}(?:{any_of(words)}){_TAIL}\s*[:：]?\s*$")) for kind, words in KINDS)
+_INLINE = tuple((kind, re.compile(rf"^{_BULLET}(?:{any_of(words)}){_TAIL}\s*[:：]\s*(?=\S)")) for kind, words in KINDS[:2])
+_BREAK = re.compile(r"\||•|·|;|\s[-–—]\s|\t")
+_PHONE_LIKE, _CUE_WORD = re.compile(r"(?:\d[\s.\-]?){9,}"), re.compile(r"[a-z]+\.?")
+_SITE, _YEARS = re.compile(c.NUMBERED_SITE), re.compile(r"\b\d{1,2}\s+years?\b|\b(?:19|20)\d{2}\b", re.I)
+_CUES, _SHORT_CUES = frozenset(c.ADDRESS_CUES), frozenset(c.SHORT_ADDRESS_CUES)
 
 
-def heading_pattern(headings: tuple[str, ...]) -> str:
-    return rf"(?U)^{_BULLET}(?:{any_of(headings)}){_TAIL}\s*[:：]?\s*$"
+class Line(NamedTuple):
+    start: int
+    end: int
+    folded: str
+    shift: int
 
 
-def _inline(headings: tuple[str, ...]) -> str:
-    return rf"(?U)^({_BULLET}(?:{any_of(headings)}){_TAIL}\s*[:：]\s*)\S"
+class Section(NamedTuple):
+    kind: str
+    heading_line: int
+    start: int
+    end: int
 
 
-def classified(parts: DataFrame) -> DataFrame:
-    """The lines with `folded`, `kind` of heading (null for most), and `content`: where an inline heading's value begins.
+def is_heading(folded: str) -> bool:
+    return len(folded) <= c.MAX_HEADING_CHARS and any(p.match(folded) for _, p in _WHOLE)
 
-    The patterns backtrack on long blank runs, so they meet lines of bounded length only, within one expression.
+
+class Layout:
+    """A part's lines, headings and sections: a heading opens a section, the next one closes it.
+
+    The heading patterns backtrack on long runs of blanks, so they meet lines of bounded length only.
     """
-    return heading_kind(lines(parts).withColumn("folded", fold(F.col("line"))))
-
-
-def heading_kind(rows: DataFrame) -> DataFrame:
-    """Lines (start, folded) with `kind` and `content`."""
-    short = F.length("folded") <= c.MAX_HEADING_CHARS
-    kind = F.when(~short, F.lit(None).cast("string"))
-    for name, headings in KINDS:
-        kind = kind.when(F.col("folded").rlike(heading_pattern(headings)), name)
-    inline = F.lit(None).cast("int")
-    for name, headings in reversed(KINDS[:2]):
-        inline = F.when(F.col("folded").rlike(_inline(headings)), F.length(F.regexp_extract("folded", _inline(headings), 1))).otherwise(inline)
-    rows = rows.withColumn("pure", kind)
-    for name, headings in KINDS[:2]:
-        kind = kind.when(F.col("folded").rlike(_inline(headings)), name)
-    return rows.withColumn("kind", kind).withColumn("content", F.when(short & F.col("pure").isNull() & F.col("kind").isNotNull(), F.col("start") + inline)).drop("pure")
-
-
-def sections(parts: DataFrame) -> DataFrame:
-    """document_id, part_seq, kind, heading_line, start, end: a heading opens a section, the next one closes it."""
-    sized = parts.select("document_id", "part_seq", F.length("text").alias("size"))
-    order = Window.partitionBy("document_id", "part_seq").orderBy("line_no")
-    heads = classified(parts).where("kind is not null").withColumn("next", F.lead("start").over(order))
-    out = heads.join(sized, ["document_id", "part_seq"])
-    start = F.coalesce("content", F.least(F.col("end") + 1, F.col("size")))
-    return out.select("document_id", "part_seq", "kind", F.col("line_no").alias("heading_line"), start.cast("int").alias("start"), F.coalesce("next", "size").cast("int").alias("end"))
-
-
-def family_hits(parts: DataFrame) -> DataFrame:
-    """One hit for each family section: all of it but the white space around."""
-    at = sections(parts).where("kind = 'family'").join(parts.select("document_id", "part_seq", "text"), ["document_id", "part_seq"])
-    body = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    lead, trail = F.length(F.regexp_extract(body, r"(?U)^\s*", 0)), F.length(F.regexp_extract(body, r"(?U)\s*$", 0))
-    hits = at.select("document_id", "part_seq", F.lit("family_details").alias("entity_type"), (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"))
-    return hits.where("end > start").select("*", F.lit(0.90).alias("confidence"), F.lit("family.section").alias("detector_id"), F.array(F.lit("section_heading")).alias("signals"))
-
-
-def is_contact_part() -> Column:
-    name = F.coalesce("part_name", F.lit(""))
-    return F.coalesce(F.col("page_number") == 1, F.lit(False)) | (name == "word/document.xml") | name.startswith("word/header")
-
-
-_BREAK = r"\||•|·|;|(?U:\s)[-–—](?U:\s)|\t"
-
-
-def contact_addresses(parts: DataFrame) -> DataFrame:
-    """Address-like segments of the first lines of contact parts, before any heading, by cues and house numbers."""
-    contact = parts.where(is_contact_part())
-    rows = classified(contact)
-    first = Window.partitionBy("document_id", "part_seq")
-    rows = rows.withColumn("stop", F.min(F.when(F.col("kind").isNotNull(), F.col("line_no"))).over(first)).where(F.col("line_no") < F.least(F.coalesce("stop", F.lit(c.CONTACT_LINES)), F.lit(c.CONTACT_LINES)))
-    marks, pieces = F.regexp_extract_all("line", F.lit(_BREAK), F.lit(0)), F.split("line", _BREAK, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(pieces, zero, lambda s, x: F.struct((s["at"] + F.length(x) + F.coalesce(F.length(F.get(marks, s["i"])), F.lit(0))).alias("at"), (s["i"] + 1).alias("i"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-    each = rows.select("document_id", "part_seq", F.col("start").alias("line_start"), F.explode(F.arrays_zip(pieces.alias("x"), starts.alias("at"))).alias("p")).select("document_id", "part_seq", "line_start", F.col("p.x").alias("x"), F.col("p.at").alias("at"))
-    each = each.where(F.col("x").rlike(r"(?U)\S") & ~F.col("x").rlike(r"[:@]") & ~F.col("x").rlike(r"(?U)(?:\d[\s.\-]?){9,}"))
-    tokens = F.regexp_extract_all(fold(F.col("x")), F.lit(r"[a-z]+\.?"), F.lit(0))
-    plain = F.array_intersect(F.transform(tokens, lambda t: F.rtrim(t, F.lit("."))), F.array(*[F.lit(x) for x in c.ADDRESS_CUES]))
-    short = F.array_intersect(tokens, F.array(*[F.lit(x) for x in c.SHORT_ADDRESS_CUES]))
-    each = each.withColumn("cues", F.size(plain) + F.size(short) + F.col("x").rlike(c.NUMBERED_SITE).cast("int"))
-    number = F.regexp_replace("x", r"(?Ui)\b\d{1,2}\s+years?\b|\b(?:19|20)\d{2}\b", " ").rlike(r"(?U)\d")
-    each = each.withColumn("confidence", F.when((F.col("cues") >= 2) & number, 0.88).when(F.col("cues") >= 2, 0.75).when((F.col("cues") == 1) & number, 0.70)).where("confidence is not null")
-    start = F.col("line_start") + F.col("at") + F.length(F.regexp_extract("x", r"(?U)^\s*", 0))
-    size = F.length(F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))
-    base = F.array(F.lit("contact_block"), F.lit("address_cues"))
-    signals = F.when(number, F.concat(base, F.array(F.lit("house_number")))).otherwise(base)
-    return each.select("document_id", "part_seq", F.lit("postal_address").alias("entity_type"), start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "confidence", F.lit("address.contact_block").alias("detector_id"), signals.alias("signals"))
-
-
-def tag_references(hits: DataFrame, found: DataFrame) -> DataFrame:
-    """E-mail and telephone hits inside a reference section get that as part of their detector and signals."""
-    refs = found.where("kind = 'reference'").select("document_id", "part_seq", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    ranges = refs.groupBy("document_id", "part_seq").agg(F.collect_list(F.struct("__s", "__e")).alias("__r"))  # headings of one part
-    inside = F.col("entity_type").isin("email", "phone") & F.coalesce(F.exists("__r", lambda r: (r["__s"] <= F.col("start")) & (F.col("start") < r["__e"])), F.lit(False))
-    out = hits.join(ranges, ["document_id", "part_seq"], "left").withColumn("__in", inside)
-    return out.withColumn("detector_id", F.when(F.col("__in"), F.concat("entity_type", F.lit(".reference"))).otherwise(F.col("detector_id"))).withColumn("signals", F.when(F.col("__in"), F.concat("signals", F.array(F.lit("reference_section")))).otherwise(F.col("signals"))).select(*hits.columns)
+
+    def __init__(self, view: Folded, page_number: int | None = None, part_name: str | None = None) -> None:
+        self.view, self.text, self.lines = view, view.text, []
+        self.contact = page_number == 1 or part_name == "word/document.xml" or (part_name or "").startswith("word/header")
+        at = 0
+        for raw in view.text.split("\n"):
+            end = at + len(raw)
+            shift = view.ahead(at)
+            self.lines.append(Line(at, end, view.folded[shift : view.ahead(end)], shift))
+            at = end + 1
+        opened = []
+        for i, line in enumerate(self.lines):
+            if line.folded and len(line.folded) <= c.MAX_HEADING_CHARS and (found := self._opens(line)) is not None:
+                opened.append((i, *found))
+        closes = [*(self.lines[i].start for i, _, _ in opened[1:]), len(view.text)][: len(opened)]
+        self.sections = [Section(kind, i, start, end) for (i, kind, start), end in zip(opened, closes, strict=True)]
+        self.first_heading = opened[0][0] if opened else len(self.lines)
+
+    def _opens(self, line: Line) -> tuple[str, int] | None:
+        """(kind, where its section begins) of a heading: on the next line, or behind the colon of an inline one."""
+        for kind, pattern in _WHOLE:
+            if pattern.match(line.folded):
+                return kind, min(line.end + 1, len(self.text))
+        for kind, pattern in _INLINE:
+            if (m := pattern.match(line.folded)) is not None:
+                return kind, self.place(line, m.end())
+        return None
+
+    def place(self, line: Line, folded_at: int) -> int:
+        """The place in the text of a character of the folded line."""
+        return self.view.back(line.shift + folded_at, line.shift + folded_at + 1)[0]
+
+    def ranges(self, kind: str) -> list[tuple[int, int]]:
+        return [(s.start, s.end) for s in self.sections if s.kind == kind]
+
+    def family(self) -> Iterator[Hit]:
+        """One hit for each family section: all of it but the white space around."""
+        for start, end in self.ranges("family"):
+            body = self.text[start:end]
+            lead = len(body) - len(body.lstrip())
+            if lead < len(body):
+                yield Hit("family_details", start + lead, start + len(body.rstrip()), 0.90, "family.section", ("section_heading",))
+
+    def addresses(self) -> Iterator[Hit]:
+        """Address-like segments of a contact part's first lines, before any heading, by cues and house numbers."""
+        if not self.contact:
+            return
+        for line in self.lines[: min(self.first_heading, c.CONTACT_LINES)]:
+            at = line.start
+            for m in [*_BREAK.finditer(self.text, line.start, line.end), None]:
+                stop = m.start() if m else line.end
+                found = _address(self.text[at:stop])
+                if found is not None:
+                    lead, size, score, signals = found
+                    yield Hit("postal_address", at + lead, at + lead + size, score, "address.contact_block", signals)
+                at = m.end() if m else stop
+
+
+def _address(segment: str) -> tuple[int, int, float, tuple[str, ...]] | None:
+    """(lead, size, score, signals) of a segment that names a place."""
+    bare = segment.strip()
+    if not bare or ":" in bare or "@" in bare or _PHONE_LIKE.search(bare):
+        return None
+    words = set(_CUE_WORD.findall(fold(bare)))
+    cues = len({w.rstrip(".") for w in words} & _CUES) + len(words & _SHORT_CUES) + (_SITE.search(bare) is not None)
+    if not cues:
+        return None
+    number = any(x.isdigit() for x in _YEARS.sub(" ", bare))
+    score = (0.88 if number else 0.75) if cues > 1 else 0.70 if number else None
+    signals = ("contact_block", "address_cues", "house_number") if number else ("contact_block", "address_cues")
+    return None if score is None else (len(segment) - len(segment.lstrip()), len(bare), score, signals)
+
+
+def tagged(hit: Hit, references: list[tuple[int, int]]) -> Hit:
+    """An e-mail or telephone hit inside a reference section gets that as part of its detector and signals."""
+    if hit.entity in ("email", "phone") and any(a <= hit.start < b for a, b in references):
+        return hit._replace(detector=f"{hit.entity}.reference", signals=(*hit.signals, "reference_section"))
+    return hit

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
-from inkveil.functions.text import fold, lines, spans
-from inkveil.operators import geometry, jobs, names, reports, resolve, sections, verify
-from inkveil.operators.detect import detect
-from inkveil.plans.detection import parts_of, redacted, verdicts, all_hits
-from inkveil.plans.storage import stored
+from inkveil.functions.text import exactly_folded, fold, lines, spans
+from inkveil.operators import detect, geometry, jobs, reports, resolve, verify
+from inkveil.plans import detection
+from inkveil.plans.detection import documents_of, parts_of
+from inkveil.plans.storage import spread_out, stored
 from inkveil.sources import admission, docx, export
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +27,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def email_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = parts_of(docs(spark, sf_dir))
-    hits = detect(parts, ("shapes",)).where("entity_type = 'email'")
-    done = redacted(parts, hits)
-    n = hits.groupBy("document_id").agg(F.count("*").alias("n_findings"))
-    return done.join(n, "document_id", "left").select(F.col("document_id").alias("doc_id"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.col("redacted").alias("redacted_text"))
+    """E-mail addresses found and replaced within the document's row."""
+    found = spread_out(docs(spark, sf_dir)).select("doc_id", "text", spans(F.col("text"), c.EMAIL).alias("s"))
+    cuts = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(c.ENTITIES["email"][0]).alias("replacement_label")))
+    return found.select("doc_id", F.size("s").cast("long").alias("n_findings"), resolve.replaced(F.col("text"), cuts).alias("redacted_text"))
 
 
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +45,12 @@ def pattern_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved hits of all rules by entity: no DuckDB form, tests hold the rules."""
-    found = resolve.findings(resolve.resolve(all_hits(parts_of(docs(spark, sf_dir)))))
+    found = detection.findings(documents_of(docs(spark, sf_dir)))
     return found.groupBy("entity_type", "action").agg(F.count("*").alias("n"))
 
 
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = parts_of(docs(spark, sf_dir))
-    return verdicts(parts, all_hits(parts)).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("leaks").alias("leaks"))
+    return detection.verdicts(documents_of(docs(spark, sf_dir))).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("leaks").alias("leaks"))
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.sections(parts_of(docs(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
+    return detection.sections(parts_of(docs(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def synthetic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +194,7 @@ def docx_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses found in the packages' text, replaced in the packages, whose text is then read once more."""
     read = stored(packages(spark, sf_dir))
     parts = docx.parts_of_packages(read)
-    found = resolve.ranges(resolve.findings(resolve.resolve(detect(parts, ("shapes",)).where("entity_type = 'email'"))))
+    found = resolve.ranges(resolve.findings(resolve.resolve(detect.shape_hits(parts, ("email",)))))
     done = docx.write_packages(read.where("package.outcome = 'text'"), parts, found).select("document_id", "written.content")
     out = docx.parts_of_packages(docx.read_packages(done))
     return out.select(F.col("document_id").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"))
@@ -206,13 +204,14 @@ def labelled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled line for each customer, and the span of the name in it."""
     last = F.concat(F.lit("Sample"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
     line = F.concat(F.col("c_name"), F.lit("\n  - Full name: Jane "), last, F.lit(" | "), F.col("c_mktsegment"))
-    parts = parts_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), line.alias("text")))
-    return names.labelled(parts).select("document_id", "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "confidence")
+    found = detection.document_hits(documents_of(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), line.alias("text"))))
+    return found.where("detector_id = 'name.label'").select("document_id", "entity_type", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"), "confidence")
 
 
 def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all documents by detector: no DuckDB form, tests hold the rules."""
-    return names.name_hits(parts_of(docs(spark, sf_dir))).groupBy("entity_type", "detector_id").agg(F.count("*").alias("n"))
+    hits = detection.document_hits(documents_of(docs(spark, sf_dir)))
+    return hits.where("entity_type in ('candidate_name', 'reference_name')").groupBy("entity_type", "detector_id").agg(F.count("*").alias("n"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,43 @@
-"""Results that several steps read are written once, in the folder that all executors share."""
+"""Results that several steps read are written once, in the folder that all executors share; small inputs are spread out."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input for each task beyond which an input has splits enough of its own.
+SPREAD_BYTES = 64 << 20
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir, read again, so nothing is computed twice and a lost executor costs nothing.
 
-    Only where that setting and the session's checkpoint folder are unset, as in tests, a local folder is made and set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the session's checkpoint folder. Without either, only a local session may go on, with a
+    folder under its warehouse; a cluster must name one."""
+    context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='inkveil-')}"
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/inkveil-checkpoints"
         context.setCheckpointDir(folder)
-    path = f"{folder}/inkveil-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again, so nothing is computed twice and a lost executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession)}/inkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes from fewer files than there are cores and is small: one file's single row group is
+    one task otherwise. Large inputs have splits enough and are never shuffled for this."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

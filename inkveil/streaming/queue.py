@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkveil.functions.text import spans
-from inkveil.functions import catalogue as c
+from inkveil.plans import detection
 
 
 def arrivals(spark: SparkSession, folder: str, schema: str, files_each: int = 100) -> DataFrame:
@@ -15,9 +14,14 @@ def arrivals(spark: SparkSession, folder: str, schema: str, files_each: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(folder)
 
 
-def redacted_stream(docs: DataFrame) -> DataFrame:
-    """E-mail addresses replaced as documents arrive; no state, so any number of them."""
-    return docs.withColumn("n_findings", F.size(spans(F.col("text"), c.EMAIL))).withColumn("text", F.regexp_replace("text", c.EMAIL, c.ENTITIES["email"][0]))
+def redacted_stream(docs: DataFrame, mask_salary: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents found, judged, redacted and verified as they arrive: document_id, text, n_findings, outcome.
+
+    No state, so any number of them. A document that fails verification keeps its row but gives no text.
+    """
+    done = detection.judged(detection.documents_of(docs, id_col, text_col), mask_salary)
+    text = F.when(F.col("verdict.outcome") != "failed", F.array_join(F.transform("outputs", lambda o: o["redacted"]), "\n"))
+    return done.select(F.col("document_id").alias(id_col), text.alias(text_col), F.size("findings").alias("n_findings"), F.col("verdict.outcome").alias("outcome"))
 
 
 def start(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

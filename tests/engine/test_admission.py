@@ -41,8 +41,8 @@ def test_stream_redacts_each_document_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
     def run():
         queue.start(queue.redacted_stream(queue.arrivals(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(60)
-        return sorted((r.doc_id, r.text, r.n_findings) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return sorted((r.doc_id, r.text, r.n_findings, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     add((1, "to a@b.co"), (2, "none"))
-    assert run() == [(1, "to [EMAIL]", 1), (2, "none", 0)]
+    assert run() == [(1, "to [EMAIL]", 1, "passed"), (2, "none", 0, "passed")]
     add((3, "c@d.org, e@f.net"))
-    assert run() == [(1, "to [EMAIL]", 1), (2, "none", 0), (3, "[EMAIL], [EMAIL]", 2)]
+    assert run() == [(1, "to [EMAIL]", 1, "passed"), (2, "none", 0, "passed"), (3, "[EMAIL], [EMAIL]", 2, "passed")]

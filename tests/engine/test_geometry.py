@@ -3,7 +3,7 @@ import pytest
 
 from inkveil.functions.text import lines
 from inkveil.operators import geometry as g
-from inkveil.operators import names
+from inkveil.plans import detection
 
 WORD = "document_id int, page_number int, word_seq int, word string, x0 double, y0 double, x1 double, y1 double"
 
@@ -27,7 +27,7 @@ def test_text_and_heights(spark):
     assert (row.text, row.part_seq, [(s.start, s.end) for s in row.spans]) == ("Jane Example\nmail\nskill", 0, [(0, 4), (5, 12), (13, 17), (18, 23)])
     heights = g.line_heights(parts, lines(parts))
     assert sorted((r.line_no, r.height) for r in heights.collect()) == [(0, 20.0), (1, 10.0), (2, 10.0)]
-    assert "largest_font" in names.headers(parts, heights).first().signals
+    assert "largest_font" in detection.all_hits(parts.drop("spans"), heights).where("detector_id = 'name.header'").first().signals
     assert parts.select(g.unreadable(parts.text).alias("x")).first().x is False
 
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from inkveil.operators import names, resolve
 from inkveil.plans import detection
@@ -48,11 +47,15 @@ def parts(spark, rows):
     return spark.createDataFrame(rows, "document_id int, part_seq int, page_number int, part_name string, text string")
 
 
+def named(hits):
+    return hits.where("entity_type in ('candidate_name', 'reference_name')")
+
+
 def test_cases(spark):
     texts = [*CASES, *CONFOUNDERS]
     frame = parts(spark, [(i, 0, None, "word/document.xml", t) for i, t in enumerate(texts)] + [(-1, 0, None, "word/document.xml", None)])
     found = {}
-    for r in resolve.merge_same_type(names.name_hits(frame)).orderBy("start").collect():
+    for r in resolve.merge_same_type(named(detection.all_hits(frame))).orderBy("start").collect():
         found.setdefault(r.document_id, []).append((r.entity_type, texts[r.document_id][r.start : r.end], round(r.confidence, 2), r.detector_id))
     for i, t in enumerate(texts):
         assert found.get(i, []) == CASES.get(t, []), t
@@ -72,11 +75,15 @@ def test_parts_and_layout(spark):
     """The best header of several contact parts repeats into the body; the largest line scores higher."""
     rows = [(1, 0, None, "word/header1.xml", "NGUYỄN VĂN MẪU"), (1, 1, None, "word/document.xml", "Email: mau.nguyen@example.test\nMục tiêu\nTôi là Nguyễn Văn Mẫu."), (2, 0, 1, None, "Nguyễn Thị Mẫu\nx y\nz w"), (2, 1, 2, None, "Other Person\nMẫu Nguyễn")]
     heights = spark.createDataFrame([(2, 0, 0, 20.0), (2, 0, 1, 10.0), (2, 0, 2, 10.0)], "document_id int, part_seq int, line_no int, height double")
-    got = [(r.document_id, r.part_seq, r.start, r.end, round(r.confidence, 2), r.detector_id) for r in names.name_hits(parts(spark, rows), heights).orderBy("document_id", "part_seq", "start").collect()]
+    got = [(r.document_id, r.part_seq, r.start, r.end, round(r.confidence, 2), r.detector_id) for r in named(detection.all_hits(parts(spark, rows), heights)).orderBy("document_id", "part_seq", "start").collect()]
     assert got == [(1, 0, 0, 14, 0.85, "name.header"), (1, 1, 47, 61, 0.85, "name.repeat"), (2, 0, 0, 14, 0.9, "name.header"), (2, 1, 13, 23, 0.9, "name.repeat")]
 
 
 @pytest.mark.parametrize("tokens, mail, agrees", [(["nguyen", "mau"], ["mau", "nguyen"], True), (["nguyen", "mau"], ["mau"], True), (["jane", "poe"], ["xjanex"], True), (["poe"], ["xpoex"], False), (["van", "thi"], ["van"], False), (["ann"], None, False)])
-def test_mail_agreement(spark, tokens, mail, agrees):
-    row = spark.createDataFrame([(tokens, mail)], "t array<string>, m array<string>")
-    assert row.select(names.mail_agrees(F.col("t"), F.col("m")).alias("x")).first().x is agrees
+def test_mail_agreement(tokens, mail, agrees):
+    assert names.mail_agrees(tokens, mail or []) is agrees
+
+
+def test_variants():
+    assert names.variants(("a", "b", "c")) == [("a", "b", "c"), ("c", "a", "b"), ("a", "c"), ("c", "a")]
+    assert names.variants(("a", "b")) == [("a", "b"), ("b", "a")] and names.variants(("a",)) == [("a",)]
