@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import exactly_folded, fold, lines, spans
 from inkveil.operators import detect, geometry, jobs, reports, resolve, verify
-from inkveil.plans import detection
+from inkveil.plans import detection, job_queries
 from inkveil.plans.detection import documents_of, parts_of
 from inkveil.plans.storage import spread_out, stored
 from inkveil.sources import admission, docx, export
@@ -169,20 +169,13 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.reconcile(stored, uses)
 
 
-def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands from the line items, replayed by order."""
-    commands = F.array(*[F.lit(x) for x in ("mark_uploaded", "start_validation", "validation_passed", "start_processing", "output_written", "verification_passed", "cancel")])
-    events = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("seq"), commands[(F.col("l_linenumber") - 1).cast("int") % 7].alias("command"))
-    return jobs.replay(events).groupBy("state").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
-
-
 def value_searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", verify.value_pattern(F.lit("email"), F.col("text")).isNotNull().alias("searched"))
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a word package, a paragraph for each line, read again."""
-    return docx.read_packages(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), docx.packed(F.col("text")).alias("content")))
+    return docx.read_packages(spread_out(docs(spark, sf_dir)).select(F.col("doc_id").alias("document_id"), docx.packed(F.col("text")).alias("content")))
 
 
 def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +237,7 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.batch_report(orders, found, hidden).select("document_id", "status", "count_email", "count_salary", "hidden_comments", "hidden_glossary", "hidden_forms")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, job_states, value_searchable, docx_text, docx_redacted, labelled_names, name_counts, page_text, gold_spans, archive_names, batch_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, value_searchable, docx_text, docx_redacted, labelled_names, name_counts, page_text, gold_spans, archive_names, batch_report)}
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
 
@@ -300,3 +293,6 @@ ORACLE_SQL: dict[str, str] = {
     "reconcile": "SELECT c_custkey AS ref, CASE WHEN count(o_orderkey) = 0 THEN 'orphan' WHEN bool_or(o_orderstatus = 'O') THEN 'in_use' ELSE 'unneeded' END AS verdict FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
 }
+
+QUERIES |= job_queries.QUERIES
+ORACLE_SQL |= job_queries.ORACLE_SQL
