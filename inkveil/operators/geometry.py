@@ -37,6 +37,11 @@ def unreadable(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", "")) < LEAST_VISIBLE
 
 
+def page_code(text: Column, unmapped_glyphs: Column) -> Column:
+    """Why a page's text cannot be trusted, or null: too little of it, with glyphs that map to no character or without."""
+    return F.when(unreadable(text), F.when(unmapped_glyphs, "PDF_TEXT_UNRELIABLE").otherwise("PDF_NO_TEXT_LAYER"))
+
+
 def line_heights(parts: DataFrame, rows: DataFrame) -> DataFrame:
     """document_id, part_seq, line_no, height: the tallest box that touches each line (rows of functions.text.lines)."""
     boxes = parts.select(*PART, F.explode("spans").alias("s")).select(*PART, F.col("s.start").alias("__a"), F.col("s.end").alias("__b"), F.array_max(F.transform("s.boxes", lambda b: b[3] - b[1])).alias("h"))

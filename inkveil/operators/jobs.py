@@ -147,6 +147,11 @@ def next_document(documents: DataFrame, batches: DataFrame) -> DataFrame:
     return waiting.orderBy("batch_created_at", "batch_id", "created_at", "document_id").limit(1).select("batch_id", "document_id")
 
 
+def in_order(documents: DataFrame) -> DataFrame:
+    """documents with `position`: their place in their batch by creation, then id."""
+    return documents.withColumn("position", F.row_number().over(Window.partitionBy("batch_id").orderBy("created_at", "document_id")))
+
+
 def settled(documents: DataFrame) -> DataFrame:
     """batch_id, settled: all its documents are final or wait for a person."""
     return documents.groupBy("batch_id").agg(F.bool_and(F.col("state").isin(*c.TERMINAL, "review_required")).alias("settled"))

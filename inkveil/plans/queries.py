@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import exactly_folded, fold, lines, spans
 from inkveil.operators import detect, geometry, jobs, reports, resolve, verify
-from inkveil.plans import detection, job_queries
+from inkveil.plans import detection, job_queries, text_queries
 from inkveil.plans.detection import documents_of, parts_of
 from inkveil.plans.storage import spread_out, stored
 from inkveil.sources import admission, docx, export
@@ -62,10 +62,6 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.sha2(fold(F.col("text")), 256).alias("folded_sha256"))
 
 
-def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.sections(parts_of(docs(spark, sf_dir))).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 def synthetic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with places from the line items: up to seven for each order, of four entities, that often overlap."""
     names = F.array(*[F.lit(x) for x in ("email", "phone", "gender", "salary")])
@@ -127,11 +123,6 @@ def batch_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.over_file_cap(uploads, 20).select("doc_id", "refused")
 
 
-def batch_byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uploads = docs(spark, sf_dir).select(F.col("source").alias("batch_id"), F.col("doc_id").alias("arrival"), F.octet_length("text").cast("long").alias("size_bytes"))
-    return admission.over_byte_cap(uploads, 60_000)
-
-
 def url_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as if each ended in a file name, against one admitted host."""
     url = F.concat(F.regexp_replace("url", "^http://", "https://"), F.when(F.col("page_id") % 3 == 0, "/cv.PDF").when(F.col("page_id") % 3 == 1, "/a//b.docx").otherwise("/x.txt"))
@@ -237,7 +228,7 @@ def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.batch_report(orders, found, hidden).select("document_id", "status", "count_email", "count_salary", "hidden_comments", "hidden_glossary", "hidden_forms")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, heading_sections, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, batch_byte_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, value_searchable, docx_text, docx_redacted, labelled_names, name_counts, page_text, gold_spans, archive_names, batch_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (email_redacted, email_spans, pattern_counts_by_lang, detected_counts, verdict_counts, text_lines, folded_names, merge_same_type, resolve_hits, policy_actions, docx_ranges, report_pivot, span_scoring, dedupe_sha256, batch_file_cap, url_gate, pasted_links, declared_types, next_document, settled_batches, reconcile, value_searchable, docx_text, docx_redacted, labelled_names, name_counts, page_text, gold_spans, archive_names, batch_report)}
 
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,}"
 
@@ -294,5 +285,5 @@ ORACLE_SQL: dict[str, str] = {
     "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
 }
 
-QUERIES |= job_queries.QUERIES
-ORACLE_SQL |= job_queries.ORACLE_SQL
+QUERIES |= job_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL |= job_queries.ORACLE_SQL | text_queries.ORACLE_SQL

@@ -56,8 +56,14 @@ def declared_disagrees(kind: Column, filename: Column, content_type: Column, oth
 
 
 def upload_code(kind: Column, size: Column, disagrees: Column) -> Column:
-    """Null if accepted, else why not."""
-    return F.when(size == 0, "UPLOAD_EMPTY").when(size > c.MAX_FILE_BYTES, "UPLOAD_TOO_LARGE").when(kind == "ole", "UPLOAD_ENCRYPTED_OR_LEGACY").when(~kind.isin("pdf", "docx", "zip"), "UPLOAD_UNSUPPORTED_TYPE").when(disagrees, "UPLOAD_TYPE_MISMATCH")
+    """Null if accepted, else why not. kind is that of docx.identified()."""
+    broken = F.when(size == 0, "UPLOAD_MALFORMED_REQUEST").when(size > c.MAX_FILE_BYTES, "UPLOAD_FILE_TOO_LARGE")
+    return broken.when(kind == "macro_or_template", "DOCX_MACRO_OR_TEMPLATE").when(~kind.isin("pdf", "docx"), "UPLOAD_UNSUPPORTED_TYPE").when(disagrees, "UPLOAD_SPOOFED_TYPE")
+
+
+def used_bytes(uploads: DataFrame) -> DataFrame:
+    """batch_id, used_bytes, files of the accepted uploads (batch_id, size_bytes, accepted)."""
+    return uploads.groupBy("batch_id").agg(F.coalesce(F.sum(F.when(F.col("accepted"), F.col("size_bytes"))), F.lit(0)).cast("long").alias("used_bytes"), F.count_if("accepted").alias("files"))
 
 
 def over_file_cap(uploads: DataFrame, cap: int = c.MAX_BATCH_FILES) -> DataFrame:

@@ -85,6 +85,21 @@ def is_text(name: str) -> bool:
     return name in (MAIN, "word/footnotes.xml", "word/endnotes.xml") or (name.startswith(("word/header", "word/footer")) and name.endswith(".xml"))
 
 
+def part_kind(name: Column) -> Column:
+    """document, header, footer, footnotes, endnotes, comments or other, by the name of a part."""
+    out = F.when(name == MAIN, "document")
+    for kind in ("header", "footer", "footnotes", "endnotes", "comments"):
+        out = out.when(name.startswith(f"word/{kind}"), kind)
+    return out.otherwise("other")
+
+
+def structure_differences(source: DataFrame, output: DataFrame) -> DataFrame:
+    """document_id, name, difference of parts (document_id, name) that the output lacks (missing) or has beyond (added)."""
+    key = ["document_id", "name"]
+    lost, more = (a.join(b, key, "left_anti").distinct() for a, b in ((source, output), (output, source)))
+    return lost.withColumn("difference", F.lit("missing")).unionByName(more.withColumn("difference", F.lit("added")))
+
+
 def text_names(entries: dict[str, bytes]) -> list[str]:
     """The document, then headers, footers, footnotes, endnotes; comments are no text."""
     rank = lambda n: next(i for i, x in enumerate(_TEXT_ORDER) if n.startswith(x))

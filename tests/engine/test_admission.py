@@ -24,13 +24,18 @@ def test_kinds_and_limits(spark):
     assert [r.duplicate for r in admission.copies(up).orderBy("arrival").collect()] == [False, False, True, False]
 
 
-def test_jobs(spark):
-    walk = ["mark_uploaded", "start_validation", "validation_passed", "start_processing", "output_written", "verification_review", "cancel", "approve_review"]
-    events = spark.createDataFrame([(1, i, x) for i, x in enumerate(walk)] + [(2, 0, "approve_review")], "document_id int, seq int, command string")
-    assert sorted(tuple(r) for r in jobs.replay(events).collect()) == [(1, "completed", 8, 1), (2, "created", 1, 1)]
-    now = spark.createDataFrame([(1, "uploaded"), (2, "completed")], "document_id int, state string")
-    asked = spark.createDataFrame([(1, "cancel"), (2, "cancel")], "document_id int, command string")
-    assert sorted(tuple(r) for r in jobs.step(now, asked).collect()) == [(1, "cancelled", True), (2, "completed", False)]
+def test_upload_codes_and_names(spark):
+    rows = [("pdf", 0, False), ("pdf", 21 << 20, True), ("macro_or_template", 5, True), ("unsupported", 5, False), ("docx", 5, True), ("docx", 5, False)]
+    x = spark.createDataFrame(rows, "k string, s long, d boolean").coalesce(1)
+    assert [r.c for r in x.select(admission.upload_code(F.col("k"), F.col("s"), F.col("d")).alias("c")).collect()] == ["UPLOAD_MALFORMED_REQUEST", "UPLOAD_FILE_TOO_LARGE", "DOCX_MACRO_OR_TEMPLATE", "UPLOAD_UNSUPPORTED_TYPE", "UPLOAD_SPOOFED_TYPE", None]
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "b.txt").write_bytes(b"")
+    assert sorted((r.path.rpartition("/")[2], r.size_bytes) for r in admission.listing(spark, str(tmp_path)).collect()) == [("a.pdf", 8), ("b.txt", 0)]
+    found = admission.files(spark, str(tmp_path), "*.pdf")
+    assert found.select(admission.intact(F.col("content"), F.col("content_sha256"), F.col("size_bytes")).alias("x")).first().x is True
 
 
 def test_stream_redacts_each_document_once(spark, tmp_path):
