@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import exactly_folded, fold, lines, spans
 from inkveil.operators import detect, geometry, jobs, reports, resolve, verify
-from inkveil.plans import detection, job_queries, text_queries
+from inkveil.plans import detection, job_queries, page_queries, text_queries
 from inkveil.plans.detection import documents_of, parts_of
 from inkveil.plans.storage import spread_out, stored
 from inkveil.sources import admission, docx, export
@@ -285,5 +285,5 @@ ORACLE_SQL: dict[str, str] = {
     "value_searchable": "SELECT doc_id, length(array_to_string(regexp_extract_all(replace(strip_accents(lower(text)), 'đ', 'd'), '[a-z0-9]+'), '')) >= 6 AS searched FROM documents",
 }
 
-QUERIES |= job_queries.QUERIES | text_queries.QUERIES
-ORACLE_SQL |= job_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+QUERIES |= job_queries.QUERIES | text_queries.QUERIES | page_queries.QUERIES
+ORACLE_SQL |= job_queries.ORACLE_SQL | text_queries.ORACLE_SQL | page_queries.ORACLE_SQL

@@ -32,8 +32,8 @@ def test_upload_codes_and_names(spark):
 
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
-    (tmp_path / "b.txt").write_bytes(b"")
-    assert sorted((r.path.rpartition("/")[2], r.size_bytes) for r in admission.listing(spark, str(tmp_path)).collect()) == [("a.pdf", 8), ("b.txt", 0)]
+    (tmp_path / "b.txt").write_bytes(b"x")
+    assert sorted((r.path.rpartition("/")[2], r.size_bytes) for r in admission.listing(spark, str(tmp_path)).collect()) == [("a.pdf", 8), ("b.txt", 1)]
     found = admission.files(spark, str(tmp_path), "*.pdf")
     assert found.select(admission.intact(F.col("content"), F.col("content_sha256"), F.col("size_bytes")).alias("x")).first().x is True
 
