@@ -6,8 +6,12 @@ only windows that can be equal; the maximal runs of such windows with one anchor
 shard of that anchor, where an exact method decides. All of this is linear in the text, and no task gathers more than its
 share of anchors: a batch sends one entry for an anchor however many of its texts hold it.
 
-Equal texts are one text here. Its key is a 64-bit hash, its rank the smallest doc_id that has it: all windows of a later
-copy are repeats, so only the first is searched. (Two texts in 10**9 share a key with a chance of about 3 in 100.)
+Equal texts are one text here: equal in two independent 64-bit hashes (10**10 texts hold a false pair with a chance of
+10**-19). Its rank is the smallest doc_id that has it: all windows of a later copy are repeats, so only the first is searched.
+
+Equal pieces are settled where they are read: an occurrence with a larger rank than another one that its task has met is
+a repeat as a whole, and only the others travel. So of a line that a third of all documents holds, a task sends about as
+many pieces as its least rank changes, and the shard of that anchor grows with the tasks and not with the documents.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import mix, partitions, slices, small_batches, spread, text_buffer
 from inkveil.llm.words import find_words, hash_grams, hash_words
+from inkveil.plans.storage import spread_out
+
+#: Pieces that a task remembers the least rank of, of those that it met more than once.
+REMEMBERED = 1 << 18
 
 #: Bytes of text whose anchors, and whose pieces, leave a task together.
 FLUSH_ANCHORS, FLUSH_PIECES = 24 << 20, 2 << 20
@@ -114,9 +122,10 @@ def _with_repeats(anchor: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rank, key, text): the id is the rank, a null id ranks last; a null text is empty."""
+    """(doc_id, rank, key, digest, text): the id is the rank, a null id ranks like the largest; a null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "text", F.xxhash64("text").alias("key"), F.xxhash64(F.lit("second"), "text").alias("digest"))
 
 
 def shared_anchors(texts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
@@ -177,10 +186,49 @@ def shared_anchors(texts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
 PIECES = "bucket long, anchors binary, keys binary, ranks binary, firsts binary, counts binary, sizes binary, data binary"
 
 
+def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] + [pa.binary()] * 7
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+
+
+def settled_row(bucket: int, key: np.ndarray, rank: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return _piece_rows([(bucket, b"", key.tobytes(), rank.tobytes(), first.astype("<i4").tobytes(), count.astype("<i4").tobytes(), b"", b"")])
+
+
+class Met:
+    """The least ranks of pieces (by hash) that a task has met more than once."""
+
+    def __init__(self) -> None:
+        self.hashes, self.ranks = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def settled(self, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Which of these occurrences have an equal one with a smaller rank, here or before."""
+        names, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        least = np.full(len(names), LAST)
+        np.minimum.at(least, at, ranks)
+        known = np.searchsorted(self.hashes, names)
+        known[known == len(self.hashes)] = 0
+        again = self.hashes[known] == names if len(self.hashes) else np.zeros(len(names), bool)
+        least[again] = np.minimum(least[again], self.ranks[known[again]])
+        self.ranks[known[again]] = least[again]
+        fresh = ~again & (times > 1)
+        if fresh.any():
+            if len(self.hashes) + fresh.sum() > REMEMBERED:  # start afresh: what is forgotten is sent once more
+                self.hashes, self.ranks = self.hashes[:0], self.ranks[:0]
+            both = np.concatenate((self.hashes, names[fresh]))
+            order = np.argsort(both)
+            self.hashes, self.ranks = both[order], np.concatenate((self.ranks, least[fresh]))[order]
+        return ranks > least[at]
+
+
 def pieces_by_shard(firsts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """Blobs of pieces by bucket from (key, rank, text, anchors); a piece holds all tokens of its run of windows."""
+    """Blobs of pieces by bucket from (key, rank, text, anchors); a piece holds all tokens of its run of windows.
+
+    Occurrences that are repeats as a whole come as rows without data: (key, rank, first window, windows) is all they need.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for b in slices(batches, "text", FLUSH_PIECES):
             offsets, data = text_buffer(b.column("text"))
             start, end, text = unit.tokens(offsets, data)
@@ -194,21 +242,26 @@ def pieces_by_shard(firsts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             salt = np.uint64(0x9E3779B97F4A7C15)
             keep = np.isin(mix(short + owner.astype(np.uint64) * salt), mix(wanted + holder.astype(np.uint64) * salt))
             owner, first, count, short = owner[keep], first[keep], count[keep], short[keep]
+            token0 = np.searchsorted(text, np.arange(b.num_rows), "left")  # a text's first token
+            all_ranks = b.column("rank").to_numpy()
+            told = met.settled(mix(short + hash_words(data, start[first], end[first + count + unit.window - 2])), all_ranks[owner]) if len(owner) else np.zeros(0, bool)
+            if told.any():
+                o, f = owner[told], first[told]
+                yield settled_row(int(short[told][0] >> np.uint64(40)), b.column("key").to_numpy()[o], all_ranks[o], f - token0[o], count[told])
+                owner, first, count, short = owner[~told], first[~told], count[~told], short[~told]
             order = np.argsort(short, kind="stable")
             owner, first, count, short = owner[order], first[order], count[order], short[order]
             begin, stop = start[first], end[first + count + unit.window - 2]
             size = stop - begin
-            token0 = np.searchsorted(text, np.arange(b.num_rows), "left")  # a text's first token
             bucket = (short >> np.uint64(40)).astype(np.int64)
             edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-            key, rank = b.column("key").to_numpy()[owner], b.column("rank").to_numpy()[owner]
+            key, rank = b.column("key").to_numpy()[owner], all_ranks[owner]
             rows = []
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 place = spread(begin[s:e], size[s:e])[1]
                 rows.append((int(bucket[s]), short[s:e].tobytes(), key[s:e].tobytes(), rank[s:e].tobytes(), (first[s:e] - token0[owner[s:e]]).astype("<i4").tobytes(), count[s:e].astype("<i4").tobytes(), size[s:e].astype("<i4").tobytes(), data[place].tobytes()))
             if rows:
-                kinds = [pa.int64()] + [pa.binary()] * 7
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+                yield _piece_rows(rows)
 
     return firsts.select("key", "rank", "text", "anchors").mapInArrow(cut, PIECES)
 
@@ -226,12 +279,18 @@ class Shard:
     data: np.ndarray
 
 
-def load_shard(batches: Iterator[pa.RecordBatch]) -> Shard | None:
+def load_shard(batches: Iterator[pa.RecordBatch], settled: list[tuple[np.ndarray, ...]]) -> Shard | None:
+    """The pieces of the batches; the rows that are settled already go into the list as (key, rank, first, count)."""
     kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8)
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for b in batches:
-        for i, kind in enumerate(kinds):
-            parts[i] += [np.frombuffer(x, kind) for x in b.column(i + 1).to_pylist()]
+        for row in zip(*(b.column(i + 1).to_pylist() for i in range(len(kinds))), strict=True):
+            made = [np.frombuffer(x, kind) for x, kind in zip(row, kinds, strict=True)]
+            if len(made[0]):
+                for part, x in zip(parts, made, strict=True):
+                    part.append(x)
+            else:
+                settled.append(tuple(made[1:5]))
     if not parts[0]:
         return None
     anchor, key, rank, first, count, size, data = (np.concatenate(p) for p in parts)
@@ -242,41 +301,51 @@ def load_shard(batches: Iterator[pa.RecordBatch]) -> Shard | None:
     return Shard(anchor[order], key[order], rank[order], first[order], count[order], np.concatenate(([0], np.cumsum(size))), moved)
 
 
-def span_rows(key: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
-    """(key, span): each text's repeated windows as runs, start in the high 32 bits and the end (exclusive) in the low."""
-    order = np.lexsort((window, key))
-    key, window = key[order], window[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (window[1:] > window[:-1] + 1)
+def span_rows(key: np.ndarray, rank: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """(key, rank, span): each text's repeated windows as runs of windows [first, end), joined where they touch; start in the
+    high 32 bits of a span and the end in the low."""
+    order = np.lexsort((first, rank, key))
+    key, rank, first, end = key[order], rank[order], first[order].astype(np.int64), end[order].astype(np.int64)
+    text = np.ones(len(key), bool)
+    text[1:] = (key[1:] != key[:-1]) | (rank[1:] != rank[:-1])
+    lift = np.cumsum(text) << 33  # so that the running maximum starts anew with each text
+    reach = np.maximum.accumulate(end + lift)
+    fresh = text.copy()
+    fresh[1:] |= first[1:] + lift[1:] > reach[:-1]
     at = np.flatnonzero(fresh)
-    last = np.concatenate((at[1:], [len(key)])) - 1
-    return pa.record_batch([pa.array(key[at]), pa.array((window[at].astype(np.int64) << 32) | (window[last].astype(np.int64) + 1))], ["key", "span"])
+    ends = reach[np.concatenate((at[1:], [len(key)])) - 1] - lift[at]
+    return pa.record_batch([pa.array(key[at]), pa.array(rank[at]), pa.array((first[at] << 32) | ends)], ["key", "rank", "span"])
 
 
 def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[np.ndarray, np.ndarray]], finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs what `finish` makes of the tokens covered by windows that a smaller doc_id has too.
 
-    decide(shard, window) gives (key, window start) of the repeated windows among a shard's pieces; finish(batch, data,
+    decide(shard, window) gives (piece, window of it) of the repeated windows among a shard's pieces; finish(batch, data,
     start, end, text, covered) gives a record batch of `schema`, from the tokens of a batch and which are covered.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     buckets = 4 * partitions(spark)
-    texts = texts_of(docs, id_col, text_col)  # both joins below read these very columns, so the texts are shuffled once
-    least = texts.groupBy("key").agg(F.min("rank").alias("least"))
-    placed = texts.join(least, "key")
-    # "<=", as an equality would become a join key, and the texts would be shuffled again by it.
+    texts = texts_of(spread_out(docs.select(id_col, text_col)), id_col, text_col)  # both joins below read these very columns, so the texts are shuffled once
+    least = texts.groupBy("key", "digest").agg(F.min("rank").alias("least")).withColumnRenamed("digest", "__digest")
+    # "<=" and ">=", as an equality would become a join key, and the texts would be shuffled again by it.
+    placed = texts.join(least, "key").where("digest <= __digest and digest >= __digest")
     firsts = placed.where("rank <= least").join(shared_anchors(texts, unit, buckets), "key")
     window = unit.window
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (shard := load_shard(batches)) is not None:
-            key, at = decide(shard, window)
+        told: list[tuple[np.ndarray, ...]] = []
+        if (shard := load_shard(batches, told)) is not None:
+            piece, at = decide(shard, window)
+            first = shard.first[piece] + at
+            told.append((shard.key[piece], shard.rank[piece], first, np.ones(len(first), np.int64)))
+        if told:
+            key, rank, first, count = (np.concatenate(x) for x in zip(*told, strict=True))
             if len(key):
-                yield span_rows(key, at)
+                yield span_rows(key, rank, first, first + count)
 
     dealt = pieces_by_shard(firsts, unit, buckets).repartition(partitions(spark), "bucket")
-    spans = dealt.mapInArrow(judge, "key long, span long").groupBy("key").agg(F.collect_list("span").alias("spans"))
+    spans = dealt.mapInArrow(judge, "key long, rank long, span long").groupBy("key", "rank").agg(F.collect_list("span").alias("spans")).withColumnRenamed("rank", "__rank")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -295,5 +364,6 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
             np.add.at(steps, np.concatenate((token0[owner] + (packed & 0xFFFFFFFF) + window - 1, token0[whole] + count[whole])), -1)
             yield finish(b, offsets, data, start, end, text, np.cumsum(steps[:-1]) > 0)
 
-    doc_id = F.nullif(F.col("rank"), F.lit(LAST)).alias("doc_id")
-    return placed.join(spans, "key", "left").select(doc_id, "rank", "least", "text", "spans").mapInArrow(cover, schema)
+    # as above: of texts whose keys alone are equal, each has its own spans
+    mine = (placed["key"] == spans["key"]) & (F.col("least") <= F.col("__rank")) & (F.col("least") >= F.col("__rank"))
+    return placed.join(spans, mine, "left").select("doc_id", "rank", "least", "text", "spans").mapInArrow(cover, schema)

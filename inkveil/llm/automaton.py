@@ -63,16 +63,15 @@ class SuffixAutomaton:
 
 
 def repeated_windows(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, window start) of the shard's windows that a smaller rank has too.
+    """(piece, window of it) of the shard's windows that a smaller rank has too.
 
     The pieces with one anchor are a reference shard. They stream in order of rank past the automaton of all smaller
     ranks: where the matching statistic reaches `window`, the window that ends there is a repeat. Then they join the
     automaton. What one sequence gives against an unchanged automaton is kept for its copies.
     """
-    keys, starts = [], []
+    pieces, starts = [], []
     cut = np.concatenate((np.flatnonzero(np.concatenate(([True], shard.anchor[1:] != shard.anchor[:-1]))), [len(shard.anchor)]))
     rank, offset, data = shard.rank.tolist(), shard.offset.tolist(), shard.data.tobytes()
-    key, first = shard.key.tolist(), shard.first.tolist()
     for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if rank[s] == rank[e - 1]:
             continue
@@ -86,8 +85,8 @@ def repeated_windows(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray]
                 for i, piece in zip(range(at, end), block, strict=True):
                     if (found := seen.get(piece)) is None:
                         found = seen[piece] = [j - window + 1 for j, n in enumerate(reference.matches(piece.split())) if n >= window]
-                    keys += [key[i]] * len(found)
-                    starts += [first[i] + j for j in found]
+                    pieces += [i] * len(found)
+                    starts += found
             for piece in block:
                 if piece not in held and e > end:
                     words = piece.split()
@@ -96,7 +95,7 @@ def repeated_windows(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray]
                         reference.add(words)
                         seen.clear()
             at = end
-    return np.array(keys, np.int64), np.array(starts, np.int64)
+    return np.array(pieces, np.int64), np.array(starts, np.int64)
 
 
 def _finish(b: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, covered: np.ndarray) -> pa.RecordBatch:
@@ -126,7 +125,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     """doc_id, n_words, n_removed, kept_sha256 of every row, without words covered by a window of a smaller doc_id.
 
     Words are runs of anything but the space and 0x09-0x0D. Windows are judged on the input: what is removed from one
-    document still counts against later ones. Null and empty texts have no words. A null id ranks after all others; rows
+    document still counts against later ones. Null and empty texts have no words. A null id ranks like the largest; rows
     that share an id do not count against each other, so repeated rows fare alike. Other columns are not looked at.
     """
     return removals(docs, word_unit(window), repeated_windows, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", id_col, text_col)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import as_long, slices, small_batches, spread
+from inkveil.plans.storage import spread_out
 
 NONE = np.int32(2**31 - 1)
 #: Pieces beyond this many bytes are merged with a heap, whose time is not quadratic in the length.
@@ -317,7 +318,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text")), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -350,4 +351,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
             yield pa.record_batch([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
-    return docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

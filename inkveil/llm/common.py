@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,27 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.plans.storage import shared_folder
+
 #: Text bytes that one step of a Python operator works on at a time.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch. Documents average a few kB, so a batch stays at a few MB.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = now.get() if now.isDefined() else None
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='inkveil-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/inkveil-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/inkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

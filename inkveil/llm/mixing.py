@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import materialize
+from inkveil.plans.storage import spread_out
 
 BUCKETS = 4096
 #: Labelled rows that the classifier is fitted on at most.
@@ -68,7 +69,7 @@ def memberships(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("__mix_id"), F.xxhash64(F.col(text_col).cast("string")).alias("__mix_h"), F.col(text_col).cast("string").alias("text"))
     at = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     logs = [F.sum(F.lit(x)[at]).alias(f"s{k}") for k, x in enumerate(model["logs"])]
-    words = rows.select("__mix_id", "__mix_h", F.posexplode(F.split("text", _WORDS, -1)).alias("at", "w")).where("w <> ''")
+    words = spread_out(rows).select("__mix_id", "__mix_h", F.posexplode(F.split("text", _WORDS, -1)).alias("at", "w")).where("w <> ''")
     sums = words.groupBy("__mix_id", "__mix_h").agg(F.count("*").alias("all"), F.count_if(F.col("at") == 0).alias("c0"), F.count_if(F.col("at") == 1).alias("c1"), *logs)
     sums = sums.withColumn("__mix_n", F.expr("all div if(c0 > 0, c0, c1)"))
     weight = F.least(F.col("__mix_n").cast("double"), F.lit(EVIDENCE)) / F.col("all")

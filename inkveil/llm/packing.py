@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.bpe import TEXT_BYTES, load
 from inkveil.llm.common import as_long, slices, small_batches, spread
+from inkveil.plans.storage import spread_out
 
 #: Tokens that are packed together. A task holds one such shard at a time, however large its partition is.
 SHARD_TOKENS = 1 << 20
@@ -123,7 +124,7 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = 2048, pa
             yield packed()
 
     small_batches(docs.sparkSession)
-    return docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PACKED)
+    return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, PACKED)
 
 
 def digests(packed: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.plans.storage import spread_out
+
 ROUNDS = 8
 #: The Gregorian calendar repeats after so many days; 189 * 773 of them from 1800-01-01 are permuted as one domain.
 DAYS_HIGH, DAYS_LOW = 189, 773
@@ -157,7 +159,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     found, kept, fresh = "__pii_found", "__pii_kept", "__pii_fresh"
     plain = ~F.col(text_col).rlike(HINT) | F.col(text_col).isNull()
-    out = docs.withColumn(found, F.when(plain, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))))
+    out = spread_out(docs).withColumn(found, F.when(plain, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))))
     out = out.withColumn(fresh, F.expr(f"transform({found}, m -> {replacement(key)})"))
     out = out.withColumn(kept, F.when(F.size(found) > 0, F.split(F.col(text_col), ANY, -1)))
     joined = F.array_join(F.zip_with(kept, F.concat(fresh, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")

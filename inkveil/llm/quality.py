@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import as_long, slices, small_batches, text_buffer
 from inkveil.llm.words import find_words, hash_grams, hash_words
+from inkveil.plans.storage import spread_out
 
 #: Hashed byte trigrams.
 TRIGRAMS = 2048
@@ -162,7 +163,7 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFr
             yield pa.record_batch([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
-    scored = docs.select(as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    scored = spread_out(docs.select(as_long("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -180,4 +181,4 @@ def keep_good(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> Da
             yield b.filter(pa.array(predict(sent.value, features(*text_buffer(b.column("text")))) >= threshold))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return spread_out(docs).mapInArrow(run, docs.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm.common import as_long, materialize, mix, partitions, slices, small_batches
 from inkveil.llm.components import connected_components
+from inkveil.plans.storage import spread_out
 
 #: A block group above this size is cut into tiles of pairs of parts, each of about this many fingerprints.
 TILE = 2048
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], ["doc_id", "fp", "fp2"])
 
     small_batches(docs.sparkSession)
-    return docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -222,7 +223,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
 
     small_batches(docs.sparkSession)
     rows = docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, fp2 long, node long")
+    return spread_out(rows).mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, fp2 long, node long")
 
 
 def similar_forest(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:

@@ -46,21 +46,39 @@ def least_ranks(pieces: list[bytes], ranks: np.ndarray, window: int) -> tuple[np
     return np.concatenate((np.cumsum(count) - count, [len(at)])), out
 
 
+def shortened(piece: bytes, window: int) -> tuple[bytes, np.ndarray]:
+    """The piece with runs of one byte cut to `window` bytes, and for each window of the piece the place of an equal one.
+
+    No window reaches beyond both ends of such a run, so the distinct windows stay; a run would else cost the sort one
+    step for each of its bytes.
+    """
+    raw = np.frombuffer(piece, np.uint8)
+    starts = np.concatenate(([0], np.flatnonzero(raw[1:] != raw[:-1]) + 1))
+    size = np.diff(np.concatenate((starts, [len(raw)])))
+    kept = np.minimum(size, window)
+    ends = np.cumsum(kept)
+    run = np.repeat(np.arange(len(size)), size)[: len(raw) - window + 1]
+    left = (starts + size)[run] - np.arange(len(run))
+    return raw[spread(starts, kept)[1]].tobytes(), ends[run] - np.minimum(left, window)
+
+
 def repeated_windows(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, window start) of the shard's windows that a smaller rank has too."""
+    """(piece, window of it) of the shard's windows that a smaller rank has too."""
     n = len(shard.anchor)
     data, offset = shard.data.tobytes(), shard.offset.tolist()
     anchors = shard.anchor.tolist()
-    keys, starts = [], []
+    pieces, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
     while at < n:
-        end, held, distinct, of, total = at, {}, [], [], 0
+        end, held, distinct, of, total, cuts = at, {}, [], [], 0, {}
         while end < n and (total < SORT_BYTES or anchors[end] == anchors[end - 1]):
             if end > at and anchors[end] != anchors[end - 1]:
                 held.clear()  # only pieces with one anchor can be equal
             piece = data[offset[end] : offset[end + 1]]
             if (u := held.get(piece)) is None:
                 u = held[piece] = len(distinct)
+                if len(piece) > 8 * window:
+                    piece, cuts[u] = shortened(piece, window)
                 distinct.append(piece)
                 total += len(piece)
             of.append(u)
@@ -71,12 +89,16 @@ def repeated_windows(shard: Shard, window: int) -> tuple[np.ndarray, np.ndarray]
         slots, least = least_ranks(distinct, ranks, window)
         count = shard.count[at:end].astype(np.int64)
         who, slot = spread(slots[of], count)
+        if cuts:
+            begin = np.cumsum(count) - count
+            for i in np.flatnonzero(np.isin(of, list(cuts))).tolist():
+                slot[begin[i] : begin[i] + count[i]] = slots[of[i]] + cuts[of[i]]
         gone = least[slot] < shard.rank[at:end][who]
         place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-        keys.append(shard.key[at:end][who[gone]])
-        starts.append(shard.first[at:end][who[gone]] + place[gone])
+        pieces.append(at + who[gone])
+        starts.append(place[gone])
         at = end
-    return np.concatenate(keys), np.concatenate(starts).astype(np.int64)
+    return np.concatenate(pieces), np.concatenate(starts)
 
 
 def _finish(b: pa.RecordBatch, offsets: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, covered: np.ndarray) -> pa.RecordBatch:
@@ -101,7 +123,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, without bytes covered by a string of a smaller doc_id.
 
     A byte goes if a string of `window` UTF-8 bytes that covers it also starts in a document with a smaller doc_id. Null
-    texts count as empty. A null id ranks after all others; rows that share an id do not count against each other.
+    texts count as empty. A null id ranks like the largest one; rows that share an id do not count against each other.
     Strings are judged on the input. Repeated rows fare alike, and other columns are not looked at.
     """
     return removals(docs, byte_unit(window), repeated_windows, _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", id_col, text_col)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from inkveil.llm import automaton, suffix_dedup
+from inkveil.llm import anchors, automaton, suffix_dedup
 from inkveil.llm.automaton import SuffixAutomaton
 from inkveil.llm.suffixes import suffix_array
 from tests.llm import brute
@@ -50,12 +50,65 @@ def test_kept_texts(spark, rows):
     assert kept == sorted((str(r[0]), r[4]) for r in brute.op4(rows))
 
 
-@pytest.mark.parametrize("length", [40_000, 70_000])
-def test_long_runs_of_one_character(spark, length):
+@pytest.mark.parametrize("length", [32_800, 32_850, 70_000])
+@pytest.mark.parametrize(("operator", "plain"), [(automaton.substring_dedup, brute.op1), (suffix_dedup.suffix_dedup, brute.op4)])
+def test_long_runs(spark, length, operator, plain):
     # a run's windows share one anchor, so the run is one piece, whose windows do not fit 16 bits
-    made = [(1, "left " + "-" * length + " one"), (2, "right " + "-" * length + " two")]
-    assert [tuple(r) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string")).orderBy("doc_id").collect()] == brute.op4(made)
-    assert brute.op4(made)[1][2] >= length
+    run = "-" * length if plain is brute.op4 else "word " * (length // 5)
+    made = [(1, "left " + run + " one"), (2, "right " + run + " two")]
+    assert sorted((tuple(r) for r in operator(spark.createDataFrame(made, "doc_id long, text string")).collect()), key=str) == plain(made)
+    assert plain(made)[1][2] >= length // 5
+
+
+def test_a_million_equal_bytes(spark):
+    made = [(1, "left " + "-" * 10**6 + " one"), (2, "right " + "-" * 10**6 + " two")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (10**6 + 3, 1)}  # 't ' before and a blank behind as well
+
+
+@pytest.mark.parametrize(("operator", "plain"), [(automaton.substring_dedup, brute.op1), (suffix_dedup.suffix_dedup, brute.op4)])
+def test_a_line_that_most_documents_hold(spark, monkeypatch, operator, plain):
+    """Equal pieces are settled where they are read, whichever rank comes first and however little a task remembers."""
+    r = random.Random(3)
+    line = " ".join(f"common{i}" for i in range(20))
+    made = [(i, " ".join(r.choices(["a", "b", "c", "d", "e"], k=25)) + ("\n" + line + "\n" + line if i % 3 else "") + " end" + str(i % 7)) for i in range(120)]
+    r.shuffle(made)
+    made += [(2**63 - 1, line), (2**63 - 2, line), (-(2**63), line + " x"), (None, "only " + line)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    want = plain([(2**63 - 1 if i is None else i, t) for i, t in made])
+    for remembered in (anchors.REMEMBERED, 2):
+        monkeypatch.setattr(anchors, "REMEMBERED", remembered)
+        got = sorted((tuple(x) if x.doc_id is not None else (2**63 - 1, *tuple(x)[1:]) for x in operator(df).collect()), key=str)
+        assert got == want
+
+
+def test_texts_that_share_a_key(spark, monkeypatch):
+    """Where the first hash of different texts is the same, the second tells them apart."""
+    from pyspark.sql import functions as F
+
+    real = anchors.texts_of
+    monkeypatch.setattr(anchors, "texts_of", lambda *a: real(*a).withColumn("key", F.length("text").cast("long") % 2))
+    shared = "the same thirteen words stand here in three of the four texts of this test"
+    made = [(1, shared + " a"), (2, "one " + shared), (3, shared + " a"), (4, "b " * 40), (5, "b " * 41)]
+    got = sorted((tuple(r) for r in automaton.substring_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()), key=str)
+    assert [x for x in got if x[0] == 3] == [x for x in brute.op1(made) if x[0] == 3]
+
+
+def test_shortened_runs():
+    r = random.Random(5)
+    for _ in range(300):
+        piece = b"".join(bytes([r.choice(b"ab")]) * r.choice([1, 1, 2, 3, 9, 30]) for _ in range(r.randint(2, 9)))
+        window = r.randint(1, min(7, len(piece)))
+        short, at = suffix_dedup.shortened(piece, window)
+        assert [short[a : a + window] for a in at.tolist()] == [piece[i : i + window] for i in range(len(piece) - window + 1)]
+        assert {short[i : i + window] for i in range(len(short) - window + 1)} == {piece[i : i + window] for i in range(len(piece) - window + 1)}
+
+
+def test_met():
+    met = anchors.Met()
+    assert met.settled(np.array([5, 6, 5], np.uint64), np.array([3, 1, 9])).tolist() == [False, False, True]
+    assert met.settled(np.array([5, 6, 5], np.uint64), np.array([2, 7, 3])).tolist() == [False, False, True]
+    assert met.settled(np.array([5], np.uint64), np.array([2])).tolist() == [False]
 
 
 def test_automaton_matching_statistics():
