@@ -263,7 +263,8 @@ def pieces_by_shard(firsts: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             if rows:
                 yield _piece_rows(rows)
 
-    return firsts.select("key", "rank", "text", "anchors").mapInArrow(cut, PIECES)
+    # doc_id and least are not read here, but with them both joins of removals() shuffle the same columns of the texts, once
+    return firsts.select("key", "rank", "text", "anchors", "doc_id", "least").mapInArrow(cut, PIECES)
 
 
 @dataclass
@@ -345,7 +346,7 @@ def removals(docs: DataFrame, unit: Unit, decide: Callable[[Shard, int], tuple[n
                 yield span_rows(key, rank, first, first + count)
 
     dealt = pieces_by_shard(firsts, unit, buckets).repartition(partitions(spark), "bucket")
-    spans = dealt.mapInArrow(judge, "key long, rank long, span long").groupBy("key", "rank").agg(F.collect_list("span").alias("spans")).withColumnRenamed("rank", "__rank")
+    spans = dealt.mapInArrow(judge, "key long, rank long, span long").repartition(partitions(spark), "key").groupBy("key", "rank").agg(F.collect_list("span").alias("spans")).withColumnRenamed("rank", "__rank")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
