@@ -380,6 +380,23 @@ def test_mixing_meets_targets(spark):
     assert {g.rate for g in mixing.document_rates(df, none, 0.5).collect()} == {1.0} and mixing.resample(df, none, 0.5).count() == len(rows)
 
 
+def test_mixing_rates_are_those_of_a_plain_descent(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{r.choice([k, 'x'])}{r.randrange(9)}" for _ in range(r.randint(2, 30))), k) for i, k in enumerate(r.choices("xyz", [6, 3, 1], k=80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    got = mixing.document_rates(df, df.select("text", "domain"), {"x": 1.0, "y": 1.0, "z": 0.5}).orderBy("doc_id").collect()
+    n, p = np.array([g.n_tokens for g in got], float), np.array([g.posterior for g in got])
+    base = n @ p
+    target = np.array([1.0, 1.0, 0.5]) / 2.5 * base.sum()
+    rate = np.ones(len(n))
+    for _ in range(240):
+        reached = (n * rate) @ p
+        if abs(reached - target).max() <= 1e-4 * target.sum():
+            break
+        rate = np.maximum(0, rate - p @ ((reached - target) / base))
+    assert np.allclose([g.rate for g in got], rate, rtol=1e-6, atol=1e-9)
+
+
 def test_mixing_reaches_targets_of_thin_domains(spark):
     rows = [(i, " ".join(f"{k}{j % 7}" for j in range(i, i + 20)), k) for i, k in enumerate(["x"] * 150 + ["y"] * 150 + ["z"] * 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
