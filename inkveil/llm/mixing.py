@@ -22,6 +22,9 @@ LABELLED = 20_000
 #: A posterior counts the evidence of so many words at most, spread over the whole text, so that it stays soft.
 EVIDENCE = 12.0
 
+#: Where no document may be lost, the total exceeds the least one by this share, and by it again after every so many rounds
+#: that miss: rising domains also raise the others a little, which a target at its lower bound leaves no room for.
+HEADROOM, PATIENCE = 0.01, 8
 #: Gradient steps within one expression; then the rates are written, and further steps start from them.
 STEPS = 24
 
@@ -99,7 +102,8 @@ def fit_rates(members: DataFrame, domains: int, targets: list[float] | float, le
     """members (with __mix_n, __mix_p) with their rate __mix_r, and a report of N, T and S by domain.
 
     targets: weights by domain, or an exponent a for weights in proportion to N_k ** a. Totals sum to the tokens at rate
-    one, or with keep_all to the least total at which no target is below what its domain has. With weights 1 / N_k the
+    one, or with keep_all to HEADROOM above the least total at which no target is below what its domain has, and to more
+    where that cannot be met. With weights 1 / N_k the
     gradient's Lipschitz constant in the token-weighted metric is one (the domains' overlap matrix is row-stochastic), so
     the step size is one. Each round is one aggregation of `domains` sums; nothing else reaches the driver. Targets that are
     not reached within the tolerance (posteriors so soft that no rates reach them, `most`, or `rounds`) raise a warning.
@@ -112,17 +116,19 @@ def fit_rates(members: DataFrame, domains: int, targets: list[float] | float, le
     weight = [x**targets if x > 0 else 0.0 for x in base] if isinstance(targets, (int, float)) else [w if x > 0 else 0.0 for w, x in zip(targets, base, strict=True)]
     if not sum(weight):
         return members.withColumn("__mix_r", F.lit(1.0)), {"base": base, "target": base, "reached": base, "rounds": 0}
-    total = max((x / w for x, w in zip(base, weight, strict=True) if w), default=0.0) if keep_all else sum(base) / sum(weight)
+    total = (1 + HEADROOM) * max((x / w for x, w in zip(base, weight, strict=True) if w), default=0.0) if keep_all else sum(base) / sum(weight)
     target = [w * total for w in weight]
     start, steps, done = F.lit(min(max(1.0, least), most)), [], 0
     reached = sums(start)
     while done < rounds and max(abs(s - t) for s, t in zip(reached, target, strict=True)) > tolerance * sum(target):
+        if keep_all and done and done % PATIENCE == 0:
+            target = [(1 + HEADROOM) * t for t in target]
         if len(steps) == STEPS:
             members = materialize(members.withColumn("__mix_r", rate_column(steps, least, most, start)))
             start, steps = F.col("__mix_r"), []
         steps.append([(s - t) / n if n > 0 else 0.0 for s, t, n in zip(reached, target, base, strict=True)])
         before, reached, done = reached, sums(rate_column(steps, least, most, start)), done + 1
-        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 1e-3 * tolerance * sum(target):
+        if not keep_all and max(abs(a - b) for a, b in zip(before, reached, strict=True)) <= 1e-3 * tolerance * sum(target):
             break
     if max(abs(s - t) for s, t in zip(reached, target, strict=True)) > tolerance * sum(target):
         warnings.warn(f"mixing: targets missed after {done} rounds; tokens by domain wanted {target}, reached {reached}", RuntimeWarning, stacklevel=2)

@@ -408,6 +408,16 @@ def test_mixing_reaches_targets_of_thin_domains(spark):
         mixing.document_rates(df, labelled, {"x": 1.0, "y": 1.0, "z": 1.0}, most=8.0)
 
 
+def test_mixing_without_loss_meets_targets(spark):
+    r = random.Random(5)
+    leak = 0.03  # posteriors by hand: the common domain gains from the rates of the thin one
+    rows = [(20, [1 - leak, leak] if k == "x" else [x := leak * r.random(), 1 - x]) for k in r.choices("xy", [9, 1], k=400)]
+    got, report = mixing.fit_rates(spark.createDataFrame(rows, "__mix_n long, __mix_p array<double>"), 2, 0.5, 1.0, keep_all=True)
+    assert min(x["__mix_r"] for x in got.collect()) >= 1 and report["rounds"] <= 40
+    assert np.allclose(report["reached"], report["target"], rtol=0, atol=1e-4 * sum(report["target"]))
+    assert np.isclose(report["target"][0] / report["target"][1], (report["base"][0] / report["base"][1]) ** 0.5)
+
+
 def test_mixing_counts_repeated_rows_once_each(spark):
     rows = [(1, " x1 x2\tx1 ", "x"), (2, "y1 y2 y3", "y"), (3, "x1", None), (4, "  ", None)]
     once = spark.createDataFrame(rows, "doc_id long, text string, domain string")
