@@ -11,12 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import as_long, materialize, mix, partitions, slices, small_batches
-from inkveil.llm.components import connected_components
+from inkveil.llm.common import as_long, materialize, mix, partitions, slices, small_batches, spread
+from inkveil.llm.components import connected_components, stars
 from inkveil.plans.storage import spread_out
 
 #: A block group above this size is cut into tiles of pairs of parts, each of about this many fingerprints.
 TILE = 2048
+#: Fingerprints whose keys tell which groups are that large, at most. Any choice gives the same links.
+SAMPLED = 1 << 14
+#: Groups up to this size are compared at once, pair by pair; larger ones by forest().
+SMALL = 256
+#: How a fingerprint travels to each of its groups, and how many a task makes at once and a bucket holds, about.
+RECORD = np.dtype([("tile", "<u4"), ("fp", "<u8"), ("fp2", "<u8"), ("node", "<i8")])
+RECORDS = 1 << 20
 _MORE = np.uint64(0x9E3779B97F4A7C15)
 #: Fingerprints above which near_dedup() takes longer block keys; either choice is exact.
 MANY = 1 << 24
@@ -122,57 +129,100 @@ def forest(fps: np.ndarray, distance: int, more: np.ndarray | None = None) -> li
     return found
 
 
+def group_links(rows: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (nodes, nodes) among RECORDs of the same tile that connect those within `distance` bits."""
+    rows = rows[np.argsort(rows["tile"], kind="stable")]
+    fp, fp2, node = (np.ascontiguousarray(rows[c]) for c in ("fp", "fp2", "node"))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(rows)), bool), rows["tile"][1:] != rows["tile"][:-1])))
+    ends = np.append(starts[1:], len(rows))[: len(starts)]
+    size = ends - starts
+    end = np.repeat(ends, size)
+    at, ahead = np.flatnonzero(np.repeat(size <= SMALL, size)), 1
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(at := at[at + ahead < end[at]]):
+        near = at[np.bitwise_count(fp[at] ^ fp[at + ahead]) + np.bitwise_count(fp2[at] ^ fp2[at + ahead]) <= distance]
+        a.append(node[near])
+        b.append(node[near + ahead])
+        ahead += 1
+    for s, e in zip(starts[size > SMALL].tolist(), ends[size > SMALL].tolist(), strict=True):
+        if got := forest(fp[s:e], distance, fp2[s:e]):
+            x, y = np.array(got).T
+            a.append(node[s:e][x])
+            b.append(node[s:e][y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def large_groups(nodes: DataFrame, total: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, parts) of the groups that a sample of SAMPLED fingerprints shows to be beyond TILE."""
+    share = min(1.0, SAMPLED / max(1, total))
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < int(share * (1 << 40))).select("fp", "fp2").limit(2 * SAMPLED).toArrow()
+    fp, fp2 = (sample.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+    key, n = np.unique(keys(fp, fp2).view(np.uint64), return_counts=True)
+    parts = np.ceil(n / share / TILE).astype(np.int64)
+    return key[parts > 1], parts[parts > 1]
+
+
 def near_links(nodes: DataFrame, distance: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node) that join those within `distance` bits.
+    """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node) that connect those within `distance` bits.
 
-    Rows meet on block keys; the Hamming distance is then verified. Groups beyond TILE are dealt as tiles of two parts
-    each (all pairs of parts), so that no task holds a whole hot group; a tile gives a spanning forest, not its pairs.
+    Rows meet on block keys, in one shuffle of packed records; the Hamming distance is then verified. Groups beyond TILE,
+    as a sample tells, are dealt as tiles of two parts each (all pairs of parts), so that no task holds a whole hot group;
+    a task gives stars of what its links connect, not its pairs.
     """
     spark = nodes.sparkSession
+    total, per_node = nodes.count(), keys(np.zeros(1, np.uint64), np.zeros(1, np.uint64)).shape[1]
+    hot, parts = large_groups(nodes, total, keys)
+    buckets = max(partitions(spark), total * per_node // RECORDS)
+
+    def packed(fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        row, key, count = np.repeat(np.arange(len(node)), key.shape[1]), key.ravel(), count.ravel()
+        if (count > 1).any():
+            own = (mix(node[row].view(np.uint64) ^ key) % count.astype(np.uint64)).astype(np.int64)
+            of, other = spread(np.zeros(len(count), np.int64), count)
+            pair = (np.minimum(own[of], other) << 32 | np.maximum(own[of], other)).astype(np.uint64)
+            row, key = row[of], np.where(count[of] > 1, mix(key[of] ^ mix(pair + np.uint64(1))), key[of])
+        bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        row, bucket = row[order], bucket[order]
+        out = np.empty(len(row), RECORD)
+        out["tile"], out["fp"], out["fp2"], out["node"] = key[order] & np.uint64(0xFFFFFFFF), fp[row], fp2[row], node[row]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        pieces = [out[s:e].tobytes() for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(out)], strict=True)]
+        return pa.record_batch([pa.array(bucket[cuts].astype(np.int32)), pa.array(pieces, pa.binary())], ["bucket", "records"])
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp, fp2, node = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+        key = keys(fp, fp2).view(np.uint64)
+        count = np.ones(key.shape, np.int64)
+        if len(hot):
+            where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+            count = np.where(hot[where] == key, parts[where], 1)
+        upto, start = np.concatenate(([0], np.cumsum(count.sum(axis=1)))), 0
+        while start < len(node):
+            end = max(start + 1, int(np.searchsorted(upto, upto[start] + RECORDS, "right")) - 1)
+            yield packed(fp[start:end], fp2[start:end], node[start:end], key[start:end], count[start:end])
+            start = end
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
             if b.num_rows:
-                fp, fp2, node = (b.column(i).to_numpy() for i in range(3))
-                got = keys(fp.view(np.uint64), fp2.view(np.uint64))
-                n = got.shape[1]
-                yield pa.record_batch([pa.array(x) for x in (got.ravel(), np.repeat(fp, n), np.repeat(fp2, n), np.repeat(node, n))], ["key", "fp", "fp2", "node"])
-
-    keyed = nodes.select("fp", "fp2", "node").mapInArrow(spell, "key long, fp long, fp2 long, node long")
-    many = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / TILE).cast("int"))
-    dealt = keyed.join(many, "key").withColumn("own", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "fp", "fp2", "node")
+                held.append(b)
+            if sum(x.num_rows for x in held) * per_node >= RECORDS // 2:
+                yield from dealt(held)
+                held = []
+        if held:
+            yield from dealt(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 4
-
-        def done(tile: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(tile[1:] != tile[:-1]) + 1
-            starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(tile)]))
-            size = ends - starts
-            pair = starts[size == 2]
-            pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) + np.bitwise_count(fp2[pair] ^ fp2[pair + 1]) <= distance]
-            a, b = [node[pair]], [node[pair + 1]]
-            for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                if got := forest(fp[s:e], distance, fp2[s:e]):
-                    x, y = np.array(got).T
-                    a.append(node[s:e][x])
-                    b.append(node[s:e][y])
-            return pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:
-            now = [np.concatenate((r, batch.column(i).to_numpy())) for i, r in enumerate(rest)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last tile may go on in the next batch
-            rest = [x[cut:] for x in now]
-            if cut:
-                yield done(now[0][:cut], now[1][:cut].view(np.uint64), now[2][:cut].view(np.uint64), now[3][:cut])
-        if len(rest[0]):
-            yield done(rest[0], rest[1].view(np.uint64), rest[2].view(np.uint64), rest[3])
-
-    return dealt.repartition(partitions(spark), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+        held = [np.frombuffer(x.as_py(), RECORD) for b in batches for x in b.column(1)]
+        if held:
+            a, b = stars(*group_links(np.concatenate(held), distance))
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    records = nodes.select("fp", "fp2", "node").mapInArrow(spell, "bucket int, records binary")
+    return records.repartitionById(buckets, "bucket").mapInArrow(run, "a long, b long")
 
 
 def _grouped(fps: DataFrame, distance: int) -> DataFrame:
@@ -204,26 +254,29 @@ def expected_bits(similarity: float, bits: int = 128) -> float:
     return bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, sets: bool) -> DataFrame:
-    """(doc_id, fp, fp2, node) of every row, or with `sets` (node, shingles): the sorted distinct shingle hashes.
+def packed_set(hashes: np.ndarray) -> bytes:
+    """The sorted distinct hashes, eight bytes each."""
+    return np.unique(hashes).astype("<u8").tobytes()
 
-    node is a 64-bit hash of the distinct shingles: rows that share it have similarity one.
-    """
+
+def set_name(packed: bytes) -> int:
+    """A 64-bit hash (signed) of a packed set: texts that share it have similarity one."""
+    name = xxhash.xxh64_intdigest(packed)
+    return name - (name >> 63 << 64)
+
+
+def set_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, fp, fp2, node) of every row: 128 bits of fingerprint, and the name of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             hashes = [shingle_hashes(t, shingle, seed) for t in b.column("text").to_pylist()]
-            raw = [np.unique(h).astype("<u8").tobytes() for h in hashes]
-            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64))
-            if sets:
-                yield pa.record_batch([node, pa.array(raw, pa.binary())], ["node", "shingles"])
-                continue
             fp, fp2 = (pa.array(np.array([majority(h) for h in x], np.uint64).view(np.int64)) for x in (hashes, [mix(h + _MORE) for h in hashes]))
-            yield pa.record_batch([b.column("doc_id"), fp, fp2, node], ["doc_id", "fp", "fp2", "node"])
+            yield pa.record_batch([b.column("doc_id"), fp, fp2, pa.array([set_name(packed_set(h)) for h in hashes], pa.int64())], ["doc_id", "fp", "fp2", "node"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return spread_out(rows).mapInArrow(run, "node long, shingles binary" if sets else "doc_id long, fp long, fp2 long, node long")
+    return spread_out(rows).mapInArrow(run, "doc_id long, fp long, fp2 long, node long")
 
 
 def similar_forest(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
@@ -246,16 +299,26 @@ def similar_forest(sets: list[np.ndarray], fp: np.ndarray, fp2: np.ndarray, dist
     return found
 
 
-def verified_links(groups: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes of one group (node, fp, fp2, component) whose shingles have the similarity.
+def verified_links(groups: DataFrame, texts: DataFrame, shingle: int, seed: int, distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of one group (node, least, fp, fp2, component) whose shingles have the similarity.
 
-    A group's nodes meet in tiles of two parts each, as in near_links(), so that every pair is met and no task holds a
-    large group; a tile gives a spanning forest of its true links.
+    texts: __id, text; a node's text is one of its least id. A group's nodes meet in tiles of two parts each, as in
+    near_links(), so that every pair is met and no task holds a large group; a tile gives stars of what its true links
+    connect. Texts are shuffled once, by id, and the shingles once, by tile.
     """
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("parts"))
     dealt = groups.join(sizes, "component").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select(F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "fp", "fp2").join(sets, "node").select("tile", "node", "fp", "fp2", "shingles")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("component", F.least("own", other), F.greatest("own", other)))
+    asked = dealt.select(F.col("least").alias("__id"), "node", "fp", "fp2", tiles.alias("tiles"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [packed_set(shingle_hashes(t, shingle, seed)) for t in b.column("text").to_pylist()]
+            own = [set_name(x) == n for x, n in zip(sets, b.column("node").to_pylist(), strict=True)]  # an id may come with several texts
+            yield pa.record_batch([*(b.column(c) for c in ("tiles", "node", "fp", "fp2")), pa.array(sets, pa.binary())], ["tiles", "node", "fp", "fp2", "shingles"]).filter(pa.array(own, pa.bool_()))
+
+    small_batches(groups.sparkSession)
+    sets = texts.join(asked, "__id").select("text", "tiles", "node", "fp", "fp2").mapInArrow(spell, "tiles array<long>, node long, fp long, fp2 long, shingles binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, int, bytes]] = {}
@@ -266,7 +329,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, distance: int, similarity
             fp, fp2 = (np.array([held[x][i] for x in nodes], np.int64).view(np.uint64) for i in (0, 1))
             got = similar_forest([np.frombuffer(held[x][2], "<u8") for x in nodes], fp, fp2, distance, similarity)
             if got:
-                yield pa.record_batch([pa.array([nodes[x[i]] for x in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+                a, b = stars(*(np.array([nodes[x[i]] for x in got], np.int64) for i in (0, 1)))
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
             for tile, node, fp, fp2, shingles in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -276,7 +340,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, distance: int, similarity
                 held[node] = (fp, fp2, shingles)
         yield from done()
 
-    return dealt.repartition(partitions(groups.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+    met = sets.select(F.explode("tiles").alias("tile"), "node", "fp", "fp2", "shingles")
+    return met.repartition(partitions(groups.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -287,16 +352,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the exact similarity of their shingles, so nothing below it links. Shingles and sets are told apart by 64-bit hashes.
     Nulls and repeated rows as in near_dedup(); copies are one node.
     """
-    fps = materialize(shingle_sets(docs, id_col, text_col, shingle, seed, False))
+    fps = materialize(set_fingerprints(docs, id_col, text_col, shingle, seed))
     distance = allowed_bits(similarity)
     nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "fp2")).alias("f")).where("least is not null")
     nodes = materialize(nodes.select("node", "least", "f.fp", "f.fp2"))
     near = connected_components(near_links(nodes, distance, sampled_keys(ORDERS, 16)))
     groups = materialize(nodes.join(near, "node"))
-    asked = groups.select(F.col("least").alias("__asked")).distinct()
-    texts = docs.join(asked, F.col(id_col).cast("long") == F.col("__asked"), "left_semi")
-    sets = shingle_sets(texts, id_col, text_col, shingle, seed, True)
-    roots = connected_components(verified_links(groups.select("node", "fp", "fp2", "component"), sets, distance, similarity))
+    texts = docs.select(as_long(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    roots = connected_components(verified_links(groups, texts, shingle, seed, distance, similarity))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(named.join(first, "component").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
