@@ -6,7 +6,9 @@ import base64
 import hashlib
 import heapq
 import re
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -17,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import as_long, slices, small_batches, spread
+from inkveil.llm.common import as_long, return_memory, slices, small_batches, spread
 from inkveil.plans.storage import spread_out
 
 NONE = np.int32(2**31 - 1)
@@ -25,6 +27,8 @@ NONE = np.int32(2**31 - 1)
 LONG = 1024
 #: Stretches of text between single spaces that are kept with their ids; beyond this the rare ones are forgotten.
 KEPT = 1_200_000
+#: Seconds without a task after which a Python worker lets its encoder go.
+IDLE = 5.0
 #: Text bytes that are encoded together.
 TEXT_BYTES = 4 << 20
 #: The pattern that the shortcuts of ByteBPE.encoded() are right for; with any other it finds the pieces of whole texts.
@@ -305,6 +309,29 @@ def load(rank_file: str, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
+_leaving = None
+
+
+def _leave() -> None:
+    load.cache_clear()
+    return_memory()
+
+
+@contextmanager
+def lent(rank_file: str, pattern: str) -> Iterator[ByteBPE]:
+    """The worker's encoder for one task. Tasks that follow at once find it as it was; after IDLE seconds without one it goes:
+    Spark keeps workers beyond their stage, and what comes then needs the executor's memory."""
+    global _leaving
+    if _leaving is not None:
+        _leaving.cancel()
+    try:
+        yield load(rank_file, pattern)
+    finally:
+        _leaving = threading.Timer(IDLE, _leave)
+        _leaving.daemon = True
+        _leaving.start()
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row, whole texts, no special tokens; a null or empty text has no ids.
 
@@ -313,9 +340,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(rank_file, pattern)
-        for b in slices(batches, "text", TEXT_BYTES):
-            yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text")), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with lent(rank_file, pattern) as bpe:
+            for b in slices(batches, "text", TEXT_BYTES):
+                yield pa.record_batch([b.column("doc_id"), pa.array(bpe.encode(b.column("text")), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
@@ -325,9 +352,9 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
     """(doc_id, data binary): the bytes of each row's ids; null ids give empty bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(rank_file, pattern)
-        for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([bpe.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())], ["doc_id", "data"])
+        with lent(rank_file, pattern) as bpe:
+            for b in batches:
+                yield pa.record_batch([b.column("doc_id"), pa.array([bpe.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())], ["doc_id", "data"])
 
     small_batches(encoded.sparkSession)
     return encoded.select(as_long(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, data binary")
@@ -340,15 +367,15 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(rank_file, pattern)
-        sha = hashlib.sha256
-        for b in slices(batches, "text", TEXT_BYTES):
-            counts, ids_sha, text_sha = [], [], []
-            for ids in bpe.encode(b.column("text")):
-                counts.append(len(ids))
-                ids_sha.append(sha(" ".join([bpe.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
-                text_sha.append(sha(bpe.decode(ids)).hexdigest())
-            yield pa.record_batch([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with lent(rank_file, pattern) as bpe:
+            sha = hashlib.sha256
+            for b in slices(batches, "text", TEXT_BYTES):
+                counts, ids_sha, text_sha = [], [], []
+                for ids in bpe.encode(b.column("text")):
+                    counts.append(len(ids))
+                    ids_sha.append(sha(" ".join([bpe.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
+                    text_sha.append(sha(bpe.decode(ids)).hexdigest())
+                yield pa.record_batch([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
     return spread_out(docs.select(as_long(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def return_memory() -> None:
+    """Give what this process has freed back to the system, as far as Arrow and the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: long texts then stay within a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -1,5 +1,7 @@
 import hashlib
+import time
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -36,3 +38,20 @@ def test_stages_on_nulls_and_empty_tables(spark, stage):
     run = corpus_pipeline.STAGES[stage][1]
     run(spark, spark.createDataFrame(rows, schema), SF).collect()
     assert run(spark, spark.createDataFrame([], schema), SF).collect() == []
+
+
+def test_workers_let_the_encoder_go(spark):
+    """Workers outlive their stage; an encoder that they kept would take memory from the stages that follow."""
+
+    def held(batches):
+        from inkveil.llm.bpe import load
+
+        sizes = [load.cache_info().currsize for b in batches]
+        yield pa.record_batch([pa.array(sizes, pa.int64())], ["n"])
+
+    probe = spark.range(0, 4, 1, 4).mapInArrow(held, "n long")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(4)
+    assert corpus_pipeline.tokens(spark, docs, SF).collect()
+    assert sum(r.n for r in probe.collect()) > 0  # these are the same workers
+    time.sleep(7)
+    assert sum(r.n for r in probe.collect()) == 0
