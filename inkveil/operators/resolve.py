@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
+from inkveil.plans.storage import dealt
 
 PART = ("document_id", "part_seq")
 
@@ -21,16 +22,17 @@ def label_of(entity: Column) -> Column:
 
 
 def islands(rows: DataFrame, keys: tuple[str, ...], *order: str) -> DataFrame:
-    """rows with `island`: a run of spans of which each overlaps one before it strictly; those that only touch stay apart."""
+    """rows with `island`: a run of spans of which each overlaps one before it strictly; those that only touch stay apart.
+    Rows that the order leaves equal are of one island."""
     w = Window.partitionBy(*keys).orderBy(*order)
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__new", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    return rows.withColumn("__new", (reach.isNull() | (F.col("start") >= reach)).cast("int")).withColumn("island", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
 
 def merge_same_type(hits: DataFrame) -> DataFrame:
     """Hits of one entity that overlap become one: the union, the best confidence, the first strongest detector."""
     keys = (*PART, "entity_type")
-    rows = islands(hits.withColumn("first_seen", F.min("seq").over(Window.partitionBy(*keys))), keys, "start", "end", "seq")
+    rows = islands(dealt(hits, "document_id"), keys, "start", "end", "seq").withColumn("first_seen", F.min("seq").over(Window.partitionBy(*keys)))
     best = F.max_by("detector_id", F.struct(F.col("confidence"), -F.col("start"), -F.col("end"), -F.col("seq")))
     signals = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "seq", "signals"))), lambda x: x["signals"])))
     out = rows.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("confidence").alias("confidence"), best.alias("detector_id"), signals.alias("signals"), F.min("first_seen").alias("first_seen"))
@@ -40,13 +42,23 @@ def merge_same_type(hits: DataFrame) -> DataFrame:
 def drop_contained(hits: DataFrame) -> DataFrame:
     """Merged hits without those that a longer (or equal, but higher or earlier) hit of another entity covers.
 
-    A left-anti join is enough: what covers a dropped hit either stays or is itself covered by what then covers both.
+    What covers a dropped hit either stays or is itself covered by what then covers both. By start, longest first, then
+    highest and earliest, all that may cover a hit come before it and those that end behind it do cover it; hits of its
+    own entity are disjoint, so one look at the farthest end so far is enough. Hits equal in all of that cover none of
+    each other: each looks at what came before the first of them.
     """
-    def place(prefix: str) -> Column:
-        return F.struct((F.col(f"{prefix}.start") - F.col(f"{prefix}.end")).alias("a"), (-entity_number(F.col(f"{prefix}.entity_type"), 1)).alias("b"), F.col(f"{prefix}.first_seen").alias("c"))
-
-    covers = (F.col("o.document_id") == F.col("h.document_id")) & (F.col("o.part_seq") == F.col("h.part_seq")) & (F.col("o.entity_type") != F.col("h.entity_type")) & (F.col("o.start") <= F.col("h.start")) & (F.col("h.end") <= F.col("o.end")) & (place("o") < place("h"))
-    return hits.alias("h").join(hits.alias("o"), covers, "left_anti").select(*[F.col(f"h.{x}").alias(x) for x in hits.columns])
+    rows = hits.withColumns({"__end": -F.col("end"), "__rank": -entity_number(F.col("entity_type"), 1)})
+    order = ("start", "__end", "__rank", "first_seen")
+    known = F.col("start").isNotNull() & F.col("end").isNotNull() & F.col("entity_type").isNotNull()
+    w = Window.partitionBy(*PART).orderBy(*order)
+    before, one = w.rowsBetween(Window.unboundedPreceding, -1), F.struct(F.when(known, F.col("__end")).alias("end"), "entity_type")
+    # of the hits that end farthest, the first and the last entity by name
+    seen = F.struct(F.min(F.when(known, one)).over(before).alias("a"), F.max(F.when(known, F.struct("end", "entity_type"))).over(before).alias("b"))
+    rows = rows.withColumns({"__n": F.row_number().over(w), "__seen": seen})
+    rows = rows.withColumn("__first", F.min_by("__seen", "__n").over(Window.partitionBy(*PART, *order)))
+    far, other = F.col("__first.b.end"), (F.col("__first.a.entity_type") != F.col("entity_type")) | (F.col("__first.b.entity_type") != F.col("entity_type"))
+    covered = F.col("document_id").isNotNull() & F.col("part_seq").isNotNull() & known & (far >= F.col("end")) & other
+    return rows.where(~F.coalesce(covered, F.lit(False))).select(*hits.columns)
 
 
 def resolve(hits: DataFrame) -> DataFrame:

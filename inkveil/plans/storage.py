@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for each task beyond which an input has splits enough of its own.
 SPREAD_BYTES = 64 << 20
+#: Bytes of input, as the plan estimates them, that a task which sorts or groups is dealt.
+TASK_BYTES = 4 << 20
+#: Beyond this an estimate is none: plans without statistics say they may be of any size, and joins multiply.
+NO_ESTIMATE = 1 << 40
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,3 +45,16 @@ def spread_out(df: DataFrame) -> DataFrame:
         return df
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys, in the session's number of partitions or as many more as the input needs for TASK_BYTES each: what a task
+    sorts or groups then stays the same while the input grows. Spark's own choice goes by compressed bytes, of which rows of
+    a few numbers have so few that a task gets millions of them; it is left alone where all of the
+    input is one task's or nothing is known of it."""
+    if df.isStreaming:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if not TASK_BYTES // 4 <= size < NO_ESTIMATE:
+        return df.repartition(*keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES), *keys)
