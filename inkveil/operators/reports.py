@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
 from inkveil.functions.text import spans
 from inkveil.operators.resolve import entity_number
+from inkveil.plans.storage import dealt
 
 
 def finding_counts(found: DataFrame) -> DataFrame:
@@ -60,8 +64,12 @@ def gold_without_nested(gold: DataFrame) -> DataFrame:
 def scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """entity_type, gold, predicted, correct, precision, recall by exact spans; null where nothing is divided."""
     key = ["document_id", "part_key", "entity_type", "start", "end"]
-    both = gold.select(*key).distinct().withColumn("g", F.lit(1)).join(predicted.select(*key).distinct().withColumn("p", F.lit(1)), key, "full")
-    out = both.groupBy("entity_type").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct"))
+    none, one = F.lit(None).cast("int"), F.lit(1)
+    each = gold.select(*key, one.alias("g"), none.alias("p")).unionByName(predicted.select(*key, none.alias("g"), one.alias("p")))
+    # a span without one of its keys is nothing that the other side could have meant
+    whole = reduce(and_, [F.col(k).isNotNull() for k in key])
+    both = dealt(each, "document_id").groupBy(*key).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    out = both.groupBy("entity_type").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.when(whole & F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("correct"))
     return out.withColumn("precision", F.when(F.col("predicted") > 0, F.round(F.col("correct") / F.col("predicted"), 4))).withColumn("recall", F.when(F.col("gold") > 0, F.round(F.col("correct") / F.col("gold"), 4)))
 
 
