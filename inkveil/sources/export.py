@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,22 +31,28 @@ def single_name(document_id: Column, kind: Column) -> Column:
     return F.concat(F.lit("redacted-"), document_id.cast("string"), F.lit("."), kind)
 
 
-def _free(name: str, numbered: Callable[[int], str], used: set[str]) -> str:
-    n = 1
-    while (found := name if n == 1 else numbered(n)).lower() in used:
-        n += 1
+def _free(name: str, before: str, after: str, used: set[str], tried: dict[tuple[str, str], int]) -> str:
+    """name, or else it with the least number that is free between before and after. What was taken stays taken, so the
+    search goes on where it last ended for names of the same letters."""
+    found = name
+    if found.lower() in used:
+        key = (before.lower(), after.lower())
+        n = tried.get(key, 2)
+        while (found := f"{before}{n}{after}").lower() in used:
+            n += 1
+        tried[key] = n + 1
     used.add(found.lower())
     return found
 
 
 def _batch(rows: pd.DataFrame) -> pd.DataFrame:
-    files, folders, out = set(), set(), []
+    files, folders, out = (set(), {}), (set(), {}), []
     for r in rows.sort_values("arrival").itertuples():
         whole = f"masked_{r.stem}{r.ext}"
         front, dot, back = whole.rpartition(".")
         if not front or not back:
             front, dot, back = whole, "", ""
-        out.append((r.document_id, r.batch_id, _free(whole, lambda n: f"{front}-{n}{dot}{back}", files), _free(r.stem, lambda n: f"{r.stem} {n}", folders)))
+        out.append((r.document_id, r.batch_id, _free(whole, f"{front}-", dot + back, *files), _free(r.stem, f"{r.stem} ", "", *folders)))
     return pd.DataFrame(out, columns=["document_id", "batch_id", "masked_name", "folder"])
 
 

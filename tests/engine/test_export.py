@@ -45,3 +45,31 @@ def test_gold_and_totals(spark):
     assert got == [("page:2", "email", 0, 3), ("page:2", "email", 7, 10), ("page:2", "phone", 2, 8), ("part:word/x.xml", "email", 4, 7), ("part:word/x.xml", "gender", 0, 3)]
     rows = spark.createDataFrame([(1, "pdf", "passed", 0), (2, "pdf", "failed", None), (3, "docx", "review_required", 2), (4, "docx", "review_required", None)], "document_id int, format string, outcome string, leaked int")
     assert sorted(tuple(r) for r in reports.totals(rows).collect()) == [("docx", 2, 0, 2, 1, 2, 0.0, 1.0), ("pdf", 2, 1, 0, 1, 0, 0.5, 0.0)]
+
+
+def test_a_batch_of_one_name_takes_time_in_proportion():
+    import random
+    import time
+
+    import pandas as pd
+
+    def plain(names):
+        used, out = set(), []
+        for whole in names:
+            front, dot, back = whole.rpartition(".")
+            front, dot, back = (front, dot, back) if front and back else (whole, "", "")
+            n, found = 1, whole
+            while found.lower() in used:
+                n += 1
+                found = f"{front}-{n}{dot}{back}"
+            used.add(found.lower())
+            out.append(found)
+        return out
+
+    r = random.Random(5)
+    stems = [r.choice(["cv", "CV", "cv-2", "Cv-3", "ΑΣ", "ας", "x-2", "x"]) for _ in range(400)]
+    rows = pd.DataFrame({"document_id": [str(i) for i in range(400)], "batch_id": "b", "arrival": range(400), "stem": stems, "ext": [r.choice([".pdf", ".docx", ""]) for _ in range(400)]})
+    assert list(export._batch(rows)["masked_name"]) == plain([f"masked_{s}{e}" for s, e in zip(rows["stem"], rows["ext"], strict=True)])
+    many = pd.DataFrame({"document_id": [str(i) for i in range(20_000)], "batch_id": "b", "arrival": range(20_000), "stem": "cv", "ext": ".pdf"})
+    began = time.process_time()
+    assert export._batch(many)["masked_name"].iloc[-1] == "masked_cv-20000.pdf" and time.process_time() - began < 5
