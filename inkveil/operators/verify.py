@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from inkveil.functions.text import exactly_folded
 from inkveil.operators.resolve import action, resolve
 
 
-def value_pattern(entity: Column, value: Column) -> Column:
-    """A pattern for a source value in folded text, or null where the value is too plain to be searched for."""
-    tokens = F.regexp_extract_all(exactly_folded(value), F.lit("[a-z0-9]+"), F.lit(0))
+def value_pattern(entity: Column, value: Column, folded: Callable[[Column], Column] = exactly_folded) -> Column:
+    """A pattern for a source value in folded text, or null where the value is too plain to be searched for. folded must be
+    what folds the text that is searched."""
+    tokens = F.regexp_extract_all(folded(value), F.lit("[a-z0-9]+"), F.lit(0))
     long_enough = F.length(F.array_join(tokens, "")) >= c.MIN_SEARCHED_CHARS
     digit = value.rlike(r"(?U)\d")
     searched = (

@@ -56,3 +56,12 @@ def test_scores_need_no_join(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r.entity_type: (r.gold, r.predicted, r.correct, r.precision, r.recall) for r in out.collect()}
     assert got == {"email": (3, 3, 1, 0.3333, 0.3333), "phone": (0, 1, 0, 0.0, None)}
+
+
+def test_a_sharp_s_is_no_letter_of_a_searched_value(spark, tmp_path):
+    from inkveil.plans.queries import QUERIES
+
+    texts = {0: "schßst", 1: "schßste", 2: "ÉÈÀçüö", 3: "Đâ12é", 4: None, 5: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.searched for r in QUERIES["value_searchable"](spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: None, 5: False}
