@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for each task beyond which an input has splits enough of its own.
 SPREAD_BYTES = 64 << 20
 #: Bytes of input, as the plan estimates them, that a task which sorts or groups is dealt.
 TASK_BYTES = 4 << 20
+#: Rows, and bytes of them, that a Python worker takes at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 #: Beyond this an estimate is none: plans without statistics say they may be of any size, and joins multiply.
 NO_ESTIMATE = 1 << 40
 
@@ -58,3 +62,11 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     if not TASK_BYTES // 4 <= size < NO_ESTIMATE:
         return df.repartition(*keys)
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES), *keys)
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to few rows each, so that what a worker makes of them as objects is never more than a slice's."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
