@@ -65,3 +65,30 @@ def test_a_sharp_s_is_no_letter_of_a_searched_value(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.searched for r in QUERIES["value_searchable"](spark, str(tmp_path)).collect()}
     assert got == {0: False, 1: True, 2: True, 3: False, 4: None, 5: False}
+
+
+def test_values_are_searched_as_their_pattern_would(monkeypatch):
+    import random
+    import re
+
+    from inkveil.operators import scan
+
+    r = random.Random(1)
+    for _ in range(20_000):
+        tokens = ["".join(r.choice("ab1") for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3))]
+        text = "".join(r.choice("ab1 -.é") for _ in range(r.randint(0, 14)))
+        plain = re.search(r"(?<![a-z0-9])" + "[^a-z0-9]{0,3}".join(tokens) + r"(?![a-z0-9])", text)
+        assert scan.holds(text, tokens) == (plain is not None)
+    monkeypatch.setattr(re, "compile", None)  # a value of its own in each document must compile nothing
+    assert scan.still_held([("phone", "0912 345 678")], ["tel 0912-345.678!", "0912345678x"]) == [("phone", 0)]
+
+
+def test_workers_take_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from inkveil.plans.storage import SLICE_BYTES, SLICE_ROWS, in_slices
+
+    short, long = (pa.record_batch([pa.array([x] * 1000)], ["text"]) for x in ("x", "x" * 50_000))
+    cut = [list(in_slices(iter([b]))) for b in (short, long)]
+    assert [sum(b.num_rows for b in x) for x in cut] == [1000, 1000]
+    assert max(b.num_rows for b in cut[0]) == SLICE_ROWS and max(b.nbytes for b in cut[1]) <= SLICE_BYTES + 50_004
