@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
 from inkveil.operators import jobs, records, reports
+from inkveil.plans.storage import dealt
 
 WALK = ("mark_uploaded", "start_validation", "validation_passed", "start_processing", "output_written", "record_verification", "approve_review")
 CODES = ("UPLOAD_UNSUPPORTED_TYPE", "PDF_MALFORMED", "DOCX_MALFORMED", "MAP_FAILED", "STORAGE_WRITE_FAILED", "INTERNAL_ERROR", "JOB_TIMEOUT", "SECURITY_RATE_LIMITED", "VERIFY_RESIDUAL_FINDING", "JOB_CANCELLED")
@@ -33,7 +34,7 @@ def sql_of(values: tuple, number: str) -> str:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A walk through the states for each order, one command in four another one, with what commands carry."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_suppkey").alias("l_suppkey"))
     command = F.when(F.expr("l_partkey % 4 = 0"), one_of(tuple(c.COMMANDS), "l_suppkey")).otherwise(one_of(WALK, "l_linenumber - 1"))
     outcome = one_of(OUTCOMES, "l_suppkey")
     codes = F.when(outcome == "failed", one_of(FAILURES, "l_partkey"))
