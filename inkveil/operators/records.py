@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import catalogue as c
 from inkveil.operators.jobs import code_group, fits_format, reason_kind
+from inkveil.plans.storage import dealt
 
 UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 SHA256, IDENTIFIER, SEMVER = "^[0-9a-f]{64}$", "^[a-z][a-z0-9_.-]{0,63}$", r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)$"
@@ -99,23 +100,34 @@ CHILDREN = {"finding_counts": "entity_type", "review_reasons": "reason", "verifi
 
 def child_violations(documents: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
     """document_id, violation of child rows that do not go with their document (document_id, has_counts, outcome) or with
-    each other: orphans, repeats, counts without the flag, failures or residues without a verification, pages without a count."""
-    known = documents.select("document_id", "has_counts", "outcome")
-    found = []
+    each other: orphans, repeats, counts without the flag, failures or residues without a verification, pages without a count.
+
+    Documents and children are dealt by document once; rows of one key become one, and then those of one document.
+    """
+    none = F.lit(None).cast("string")
+    each = documents.select("document_id", none.alias("t"), none.alias("k"), none.alias("g"), (~F.col("has_counts")).alias("uncounted"), F.col("outcome").isNull().alias("unverified"))
     for name, key in CHILDREN.items():
-        rows, keys = children[name], [key] if isinstance(key, str) else list(key)
-        found.append(rows.join(known, "document_id", "left_anti").select("document_id", F.lit(f"{name}_orphan").alias("violation")))
-        found.append(rows.groupBy("document_id", *keys).count().where("count > 1").select("document_id", F.lit(f"{name}_repeat").alias("violation")))
+        first, second = (key, None) if isinstance(key, str) else key
+        own = children[name].select("document_id", F.lit(name).alias("t"), F.col(first).cast("string").alias("k"), (none if second is None else F.col(second).cast("string")).alias("g"))
+        each = each.unionByName(own, allowMissingColumns=True)
+    rows = dealt(each, "document_id").groupBy("document_id", "t", "k", "g").agg(F.count(F.lit(1)).alias("n"), F.bool_or("uncounted").alias("uncounted"), F.bool_or("unverified").alias("unverified"))
+    is_ = lambda name: F.col("t") == name
+    there = [F.bool_or(is_(name)).alias(f"{name}_there") for name in CHILDREN] + [F.bool_or(is_(name) & (F.col("n") > 1)).alias(f"{name}_repeat") for name in CHILDREN]
+    lists = [F.collect_set(F.when(is_(name), F.struct("k"))).alias(name) for name in ("residual_pages", "residual_counts")]
+    found = rows.groupBy("document_id").agg(F.bool_or(F.col("t").isNull()).alias("known"), F.bool_or("uncounted").alias("uncounted"), F.bool_or("unverified").alias("unverified"), *there, *lists)
+    told = F.col("known") & F.col("document_id").isNotNull()
+    broken_ = []
+    for name in CHILDREN:
+        here = F.col(f"{name}_there")
+        broken_ += [F.when(here & ~told, f"{name}_orphan"), F.when(F.col(f"{name}_repeat"), f"{name}_repeat")]
         if name == "finding_counts":
-            found.append(rows.join(known.where("not has_counts"), "document_id", "left_semi").select("document_id", F.lit("finding_counts_unrecorded").alias("violation")))
+            broken_.append(F.when(here & told & F.col("uncounted"), "finding_counts_unrecorded"))
         elif name in ("verification_failures", "residual_counts", "residual_pages"):
-            found.append(rows.join(known.where("outcome is null"), "document_id", "left_semi").select("document_id", F.lit(f"{name}_unverified").alias("violation")))
-    pages = children["residual_pages"].join(children["residual_counts"], ["document_id", "entity_type"], "left_anti")
-    found.append(pages.select("document_id", F.lit("residual_page_without_count").alias("violation")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+            broken_.append(F.when(here & told & F.col("unverified"), f"{name}_unverified"))
+    alone = F.exists("residual_pages", lambda p: F.col("document_id").isNull() | p["k"].isNull() | ~F.array_contains(F.col("residual_counts"), p))
+    broken_.append(F.when(alone, "residual_page_without_count"))
+    each = found.select("document_id", F.explode(F.array(*broken_)).alias("violation"))
+    return each.where("violation is not null")
 
 
 def encoded(jobs: DataFrame) -> dict[str, DataFrame]:
