@@ -92,3 +92,26 @@ def test_workers_take_few_rows_at_a_time():
     cut = [list(in_slices(iter([b]))) for b in (short, long)]
     assert [sum(b.num_rows for b in x) for x in cut] == [1000, 1000]
     assert max(b.num_rows for b in cut[0]) == SLICE_ROWS and max(b.nbytes for b in cut[1]) <= SLICE_BYTES + 50_004
+
+
+def test_children_and_parts_are_told_without_a_join(spark):
+    from inkveil.operators import records
+    from inkveil.sources import docx
+
+    known = spark.createDataFrame([(1, True, "passed"), (2, False, None)], "document_id int, has_counts boolean, outcome string")
+    row = lambda kind, *rows: spark.createDataFrame(list(rows), kind)
+    children = {
+        "finding_counts": row("document_id int, entity_type string, n int", (1, "email", 1), (1, "email", 2), (2, "phone", 1)), "review_reasons": row("document_id int, reason string", (3, "x"), (None, "x")),
+        "verification_failures": row("document_id int, code string", (2, "x")), "hidden_content": row("document_id int, category string, n int", (1, "forms", 1)),
+        "residual_counts": row("document_id int, entity_type string, n int", (1, "email", 1)), "residual_pages": row("document_id int, entity_type string, page int", (1, "email", 1), (1, "email", 2), (1, None, 3), (2, "email", 1)),
+    }
+    out = records.child_violations(known, children)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(((r.document_id or 0), r.violation) for r in out.collect()) == [
+        (0, "review_reasons_orphan"), (1, "finding_counts_repeat"), (1, "residual_page_without_count"), (2, "finding_counts_unrecorded"),
+        (2, "residual_page_without_count"), (2, "residual_pages_unverified"), (2, "verification_failures_unverified"), (3, "review_reasons_orphan"),
+    ]
+    a, b = row("document_id int, name string", (1, "x"), (1, "x"), (1, "y"), (2, "x")), row("document_id int, name string", (1, "y"), (1, "z"), (3, "x"))
+    made = docx.structure_differences(a, b)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [(1, "x", "missing"), (1, "z", "added"), (2, "x", "missing"), (3, "x", "added")]
