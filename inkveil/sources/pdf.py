@@ -327,11 +327,25 @@ def filtered(streams: DataFrame) -> DataFrame:
     return streams.withColumn("filtered", F.pandas_udf(run, "struct<code:string,content:binary,cuts:int>")("stream", "objects", "off", "properties", "forms"))
 
 
+#: Answers that a worker keeps; a file's memberships ask the same of the same objects over and over.
+KEPT_ANSWERS = 4096
+
+
 def layer_hidden(rows: DataFrame) -> DataFrame:
     """rows (membership binary, objects map of number to raw dictionary, off array) with `hidden`."""
 
     def run(membership: pd.Series, objects: pd.Series, off: pd.Series) -> pd.Series:
-        return pd.Series([Layers({int(k): bytes(v) for k, v in o.items()}, set(x)).hides(bytes(m)) for m, o, x in zip(membership, objects, off, strict=True)])
+        known: dict[tuple, bool] = {}
+        out = []
+        for m, o, x in zip(membership, objects, off, strict=True):
+            asked = (bytes(m), tuple((int(k), bytes(v)) for k, v in o.items()), frozenset(x))
+            found = known.get(asked)
+            if found is None:
+                if len(known) >= KEPT_ANSWERS:
+                    known.clear()
+                known[asked] = found = Layers(dict(asked[1]), set(asked[2])).hides(asked[0])
+            out.append(found)
+        return pd.Series(out)
 
     run.__annotations__ = dict.fromkeys(("membership", "objects", "off"), pd.Series) | {"return": pd.Series}
     return rows.withColumn("hidden", F.pandas_udf(run, "boolean")("membership", "objects", "off"))

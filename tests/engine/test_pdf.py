@@ -65,3 +65,17 @@ def test_words_and_changes(spark):
     assert sorted((r.page_number, r.box[0]) for r in pdf.strayed(changes, hidden).collect()) == [(1, 0.0), (2, 0.0)]
     sizes = spark.createDataFrame([("[ID]", [0.0, 0.0, 100.0, 20.0]), ("[ID]", [0.0, 0.0, 14.0, 20.0]), ("[REDACTED]", [0.0, 0.0, 20.0, 20.0])], "label string, box array<double>").coalesce(1)
     assert [r.s for r in sizes.select(pdf.label_size(F.col("label"), F.col("box")).alias("s")).collect()] == [10.0, 7.5, None]
+
+
+def test_equal_layers_are_read_once(spark, monkeypatch):
+    read = []
+    hides = pdf.Layers.hides
+    monkeypatch.setattr(pdf.Layers, "hides", lambda self, m, *a: read.append(m) or hides(self, m, *a))
+    made = []
+    monkeypatch.setattr(pdf.F, "pandas_udf", lambda f, kind: made.append(f) or (lambda *_: pdf.F.lit(True)))
+    pdf.layer_hidden(spark.range(1))
+    import pandas as pd
+
+    member, objects = b"<< /Type /OCMD /OCGs [1 0 R] /P /AllOn >>", {1: b"<< /Type /OCG /Name (a) >>"}
+    got = made[0](pd.Series([member] * 100), pd.Series([objects] * 100), pd.Series([[1], []] * 50))
+    assert list(got) == [True, False] * 50 and sum(m == member for m in read) == 2
